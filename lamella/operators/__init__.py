@@ -1,0 +1 @@
+"""Operators of the region, text, sequence and state planes."""

@@ -1,0 +1 @@
+"""Sources of the region, text, sequence and state planes."""

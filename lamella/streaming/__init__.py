@@ -1,0 +1 @@
+"""Streaming of the region, text, sequence and state planes."""
