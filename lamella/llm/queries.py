@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from lamella.llm.decontaminate import op9_decontaminate
+from lamella.llm.pattern_packing import op6_pattern_packing
+from lamella.llm.token_output import op8_token_output
 
 
 def queries() -> dict:
-    return {"op9_decontaminate": op9_decontaminate}
+    found = [op6_pattern_packing, op8_token_output, op9_decontaminate]
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
