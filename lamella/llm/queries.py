@@ -6,11 +6,12 @@ from lamella.llm.decontaminate import op9_decontaminate
 from lamella.llm.language_id import op7_language_id
 from lamella.llm.line_dedup import OP1_SQL, op1_line_dedup
 from lamella.llm.pattern_packing import op6_pattern_packing
+from lamella.llm.progressive_jpeg import op3_progressive_jpeg
 from lamella.llm.token_output import op8_token_output
 
 
 def queries() -> dict:
-    found = [op1_line_dedup, op6_pattern_packing, op7_language_id, op8_token_output, op9_decontaminate]
+    found = [op1_line_dedup, op3_progressive_jpeg, op6_pattern_packing, op7_language_id, op8_token_output, op9_decontaminate]
     return {f.__name__: f for f in found}
 
 
