@@ -39,6 +39,17 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Deletes the files of a materialised table that nothing reads any more."""
+    spark = df.sparkSession
+    root = f"{scratch_root(spark)}/lamella/"
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
+        if "/lamella/" in folder and folder.split("/lamella/")[0].split(":")[-1].lstrip("/") == root.split(":")[-1].lstrip("/").split("/lamella/")[0]:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(hadoop).delete(path, True)
+
+
 def texts_of(column: pa.Array) -> list[bytes | None]:
     """UTF-8 bytes of a string column, nulls as None."""
     return column.cast(pa.binary()).to_pylist()

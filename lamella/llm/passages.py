@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamella.llm.common import materialize, texts_of
+from lamella.llm.common import discard, materialize, texts_of
 
 
 def identified(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -84,6 +84,7 @@ def neighbours(rows: DataFrame, keys: list[str], label: str) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(np.asarray(c, dtype=t)) for c, t in zip(cols, kinds)], names=names)
 
     found = materialize(dealt.mapInArrow(run, "uid long, pos int, other_uid long, other_pos int, edge long, edge_key long"), label + "-pairs")
+    discard(written)
     edges = found.where("edge >= 0").select("edge", "edge_key", "uid", "pos").orderBy("edge").collect()
     across = [(b.uid, b.pos, a.uid, a.pos) for a, b in zip(edges[1::2], edges[2::2]) if a.edge_key == b.edge_key and (a.uid, a.pos) != (b.uid, b.pos)]
     pairs = found.where("edge < 0").select(*names[:4])

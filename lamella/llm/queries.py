@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from lamella.llm.chain_dedup import op2_chain_dedup
 from lamella.llm.decontaminate import op9_decontaminate
 from lamella.llm.html_extract import op5_html_extraction
 from lamella.llm.language_id import op7_language_id
@@ -14,7 +15,7 @@ from lamella.llm.token_output import op8_token_output
 
 
 def queries() -> dict:
-    found = [op1_line_dedup, op3_progressive_jpeg, op4_minhash_dedup, op5_html_extraction, op6_pattern_packing, op7_language_id, op8_token_output, op9_decontaminate, op10_suffix_dedup]
+    found = [op1_line_dedup, op2_chain_dedup, op3_progressive_jpeg, op4_minhash_dedup, op5_html_extraction, op6_pattern_packing, op7_language_id, op8_token_output, op9_decontaminate, op10_suffix_dedup]
     return {f.__name__: f for f in found}
 
 
