@@ -64,11 +64,14 @@ def drop_boilerplate(
     return joined.select(*[documents[c] for c in documents.columns], lines.alias("__lines"), F.when(keys.isNull(), lines).otherwise(kept).alias("__kept"))
 
 
-def line_dedup(documents: DataFrame, text_col: str = "text", **options) -> DataFrame:
-    """documents, columns as they were, with boilerplate lines cut from the text."""
+def line_dedup(documents: DataFrame, text_col: str = "text", length_col: str | None = None, **options) -> DataFrame:
+    """documents, columns as they were, with boilerplate lines cut from the text; ``length_col`` gets the new length."""
     found = drop_boilerplate(documents, text_col=text_col, **options)
     text = F.when(F.size("__kept") == F.size("__lines"), F.col(f"`{text_col}`")).otherwise(F.array_join("__kept", "\n")).alias(text_col)
-    return found.select(*[text if c == text_col else F.col(f"`{c}`") for c in documents.columns])
+    out = found.select(*[text if c == text_col else F.col(f"`{c}`") for c in documents.columns])
+    if length_col is None:
+        return out
+    return out.withColumn(length_col, F.length(text_col).cast(documents.schema[length_col].dataType))
 
 
 def op1_line_dedup(spark, sf_dir: str) -> DataFrame:
