@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from lamella.plans import text_plane
+
+
+def _all() -> dict:
+    return {**text_plane.QUERIES}
+
 
 def queries() -> dict:
-    return {}
+    return {name: made for name, (made, _) in _all().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in _all().items() if sql is not None}
