@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from lamella.plans import text_plane
+from lamella.plans import region_plane, text_plane
 
 
 def _all() -> dict:
-    return {**text_plane.QUERIES}
+    return {**text_plane.QUERIES, **region_plane.QUERIES}
 
 
 def queries() -> dict:
