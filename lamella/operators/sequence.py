@@ -49,7 +49,7 @@ def run_length(slices: DataFrame, most: int = 6) -> DataFrame:
     ahead = Window.partitionBy("run").orderBy("idx").rowsBetween(1, Window.unboundedFollowing)
     stop = F.min(F.when(~F.col("spans"), F.col("idx"))).over(ahead)
     last = F.max("idx").over(Window.partitionBy("run"))
-    length = F.least(F.lit(most), stop - F.col("idx") + 1)
+    length = F.when(stop.isNotNull(), F.least(F.lit(most), stop - F.col("idx") + 1))
     full = F.when(stop.isNull() & (F.lit(most) + F.col("idx") - 1 <= last), F.lit(most)).otherwise(length)
     has_next = F.lead("idx").over(w).isNotNull()
     return slices.withColumn("length", F.when(has_next, F.coalesce(full, F.lit(0))).otherwise(0))
