@@ -259,6 +259,16 @@ def edit_distance_within(a: Column, b: Column, cap: int) -> Column:
     return F.when(d >= 0, d)
 
 
+def _window_match(residue: Column, term: str, cap: int, width: Column):
+    """Whether the window at a place is the term within the cap, and nothing scripted stands beside it."""
+
+    def match(i: Column) -> Column:
+        rest = F.concat(F.substr(residue, F.lit(1), i - 1), F.substr(residue, i + width))
+        return (F.levenshtein(F.substr(residue, i, width), F.lit(term), cap) >= 0) & (scripted(script_counts(rest)) == 0)
+
+    return match
+
+
 def misread_plate(text: Column, marks: Sequence[str], phrases: Sequence[str]) -> Column:
     """A non-ASCII term stands in the residue within half its length of edits (two at most), and nothing scripted beside it."""
     residue = F.regexp_replace(story_text(text, marks, phrases), r"\s", "")
@@ -270,11 +280,7 @@ def misread_plate(text: Column, marks: Sequence[str], phrases: Sequence[str]) ->
         width = F.least(F.lit(len(term)), F.length(residue))
         starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(residue) - width + 1))
 
-        def hit(i, term=term, cap=cap, width=width):
-            rest = F.concat(F.substr(residue, F.lit(1), i - 1), F.substr(residue, i + width))
-            return (F.levenshtein(F.substr(residue, i, width), F.lit(term), cap) >= 0) & (scripted(script_counts(rest)) == 0)
-
-        out = out | F.exists(starts, hit)
+        out = out | F.exists(starts, _window_match(residue, term, cap, width))
     return (F.length(residue) >= 2) & out
 
 

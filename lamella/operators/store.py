@@ -76,8 +76,9 @@ def read_conflicts(observed: DataFrame, current: DataFrame) -> DataFrame:
 def rebase(patch: DataFrame, observed: DataFrame, current: DataFrame, head: int) -> DataFrame:
     """The patch as revision head + 1; raises at run time if an observation changed."""
     broken = read_conflicts(observed, current).agg(F.count("*").alias("n"))
-    checked = patch.crossJoin(F.broadcast(broken)).withColumn("__ok", F.when(F.col("n") > 0, F.raise_error(F.lit("the patch reads values that changed"))))
-    return checked.where("__ok IS NULL").withColumn("revision", F.lit(head + 1).cast("long")).select(*patch.columns)
+    fail = F.raise_error(F.lit("the patch reads values that changed")).cast("boolean")
+    checked = patch.crossJoin(F.broadcast(broken)).where(F.when(F.col("n") > 0, fail).otherwise(True))
+    return checked.withColumn("revision", F.lit(head + 1).cast("long")).select(*patch.columns)
 
 
 def preview(ops: DataFrame, patch: DataFrame) -> DataFrame:
@@ -88,8 +89,8 @@ def preview(ops: DataFrame, patch: DataFrame) -> DataFrame:
 def ensure_head(ops: DataFrame, expected: int) -> DataFrame:
     """The log, if its head is the expected revision; else an error at run time."""
     head = ops.agg(F.coalesce(F.max("revision"), F.lit(0)).alias("head"))
-    ok = head.select(F.assert_true(F.col("head") == expected, F.lit("the head moved")).alias("ok"))
-    return ops.crossJoin(F.broadcast(ok)).drop("ok")
+    fail = F.raise_error(F.lit("the head moved")).cast("boolean")
+    return ops.crossJoin(F.broadcast(head)).where(F.when(F.col("head") != expected, fail).otherwise(True)).drop("head")
 
 
 def needs_checkpoint(commits: DataFrame, commits_at: int = CHECKPOINT_COMMITS, bytes_at: int = CHECKPOINT_BYTES) -> DataFrame:
