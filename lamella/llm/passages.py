@@ -15,7 +15,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamella.llm.common import discard, materialize, texts_of
+from lamella.llm.common import materialize, texts_of
+from lamella.llm.words import occurrence
 
 
 def identified(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -26,9 +27,9 @@ def identified(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def keyed_places(documents: DataFrame, places: Callable[[bytes], tuple[np.ndarray, ...]], keys: list[str]) -> DataFrame:
-    """Rows (keys..., uid, pos) of the places that ``places`` picks in a text."""
-    names = [*keys, "uid", "pos"]
-    schema = ", ".join(f"{k} long" for k in keys) + ", uid long, pos int"
+    """Rows (keys..., nth, uid, pos) of the places that ``places`` picks in a text; nth counts equal first keys of the text."""
+    names = [*keys, "nth", "uid", "pos"]
+    schema = ", ".join(f"{k} long" for k in keys) + ", nth int, uid long, pos int"
 
     def run(batches):
         for batch in batches:
@@ -38,6 +39,7 @@ def keyed_places(documents: DataFrame, places: Callable[[bytes], tuple[np.ndarra
                 if len(pos):
                     for c, h in zip(cols, hashes):
                         c.append(h.view(np.int64))
+                    cols[-3].append(occurrence(hashes[0]).astype(np.int32))
                     cols[-2].append(np.full(len(pos), uid, np.int64))
                     cols[-1].append(pos.astype(np.int32))
             if cols[0]:
@@ -46,17 +48,20 @@ def keyed_places(documents: DataFrame, places: Callable[[bytes], tuple[np.ndarra
     return documents.select("uid", "text").mapInArrow(run, schema)
 
 
-def neighbours(rows: DataFrame, keys: list[str], label: str) -> DataFrame:
-    """Pairs (uid, pos, other_uid, other_pos) of rows next to each other in the order of (keys, uid, pos) that share the first key.
+def neighbours(written: DataFrame, keys: list[str], label: str) -> DataFrame:
+    """Pairs (uid, pos, other_uid, other_pos) of rows next to each other in the order of (keys, nth, uid, pos) that share the first key.
+
+    By ``nth`` the first places of all texts stand together, then the second
+    ones: texts that repeat a line are joined to each other, not only to themselves.
 
     Range partitions over the whole sort key split a hot key, as a row needs
     only the one before it. The pairs across two partitions come from the
-    partitions' first and last rows, two rows a partition.
+    partitions' first and last rows, two rows a partition. ``written`` is read
+    twice, so it should be a table.
     """
-    spark = rows.sparkSession
-    order = [*keys, "uid", "pos"]
+    spark = written.sparkSession
+    order = [*keys, "nth", "uid", "pos"]
     count = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    written = materialize(rows, label)
     dealt = written.repartitionByRange(count, *order).sortWithinPartitions(*order).select(keys[0], "uid", "pos")
     names = ["uid", "pos", "other_uid", "other_pos", "edge", "edge_key"]
 
@@ -84,7 +89,6 @@ def neighbours(rows: DataFrame, keys: list[str], label: str) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(np.asarray(c, dtype=t)) for c, t in zip(cols, kinds)], names=names)
 
     found = materialize(dealt.mapInArrow(run, "uid long, pos int, other_uid long, other_pos int, edge long, edge_key long"), label + "-pairs")
-    discard(written)
     edges = found.where("edge >= 0").select("edge", "edge_key", "uid", "pos").orderBy("edge").collect()
     across = [(b.uid, b.pos, a.uid, a.pos) for a, b in zip(edges[1::2], edges[2::2]) if a.edge_key == b.edge_key and (a.uid, a.pos) != (b.uid, b.pos)]
     pairs = found.where("edge < 0").select(*names[:4])
@@ -130,7 +134,7 @@ def merged_spans(sides: DataFrame, min_words: int) -> DataFrame:
 
     w = Window.partitionBy("uid").orderBy("low", "high")
     before = F.max("high").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    starts = sides.withColumn("new", F.when(F.col("low") < before, 0).otherwise(1))
+    starts = sides.withColumn("new", F.when(F.col("low") <= before, 0).otherwise(1))
     islands = starts.withColumn("island", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     out = islands.groupBy("uid", "island").agg(
         F.first("doc_id").alias("doc_id"), F.min("low").alias("start_word"), F.max("high").alias("end_word"),

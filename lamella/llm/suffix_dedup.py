@@ -4,16 +4,18 @@ A suffix of a document's words is retained where its first ``PREFIX`` words
 are a minimiser, the least hash of ``WINDOW`` such prefixes in a row. Every
 passage of PREFIX + WINDOW - 1 words holds such a position, chosen by its
 content alone, so a repeat of ``MIN_WORDS`` words or more shares at least one
-retained suffix with its other places. Suffixes are sorted by the hashes of
-their first and following ``PREFIX`` words and compared with their neighbours:
-neighbours that share the prefix start a match. Matches on one diagonal of two
-documents are joined, then extended left and right, word by word.
+retained suffix with its other places. Suffixes are sorted by their prefix and
+the words behind it and compared with their neighbours, then sorted by their
+prefix and the words before it, last one first, and compared again, so that
+the place with the longest common words on either side comes next. Neighbours
+that share the prefix start a match. Matches on one diagonal of two documents
+are joined, then extended left and right, word by word.
 
 One row a maximal passage of a document: doc_id, start_word, end_word (words
 between ASCII white space, A-Z lower-cased), n_words, other_docs (documents
 next to it in the order, which hold the same words), and identity, 1 here.
 Groups are walked as chains of neighbours: m places of a passage give m - 1
-matches, and no group is gathered.
+matches in either order, and no group is gathered.
 
 Defined results: null, empty and texts of fewer than ``MIN_WORDS`` words have
 no passage; repeats within a document count and name the document itself; rows
@@ -28,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lamella.llm.common import materialize, table
+from lamella.llm.common import discard, materialize, table
 from lamella.llm.passages import identified, keyed_places, merged_spans, neighbours, with_words
 from lamella.llm.words import gram_hashes, minimisers, word_hashes
 
@@ -37,16 +39,20 @@ PREFIX = 25
 WINDOW = 25
 #: Words read on either side of a run; a maximal match reaches at most WINDOW words beyond its outer suffixes.
 MARGIN = 64
+#: Words in an order key, four bits of each word's hash.
+SPAN = 16
 
 
-def suffix_places(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash of the first and of the following PREFIX words, and position, of the retained suffixes."""
-    grams = gram_hashes(word_hashes(text), PREFIX)
+def suffix_places(text: bytes) -> tuple[np.ndarray, ...]:
+    """Of the retained suffixes: hash of the first PREFIX words, order keys of the words behind and before those, position."""
+    words = word_hashes(text)
+    grams = gram_hashes(words, PREFIX)
     at = minimisers(grams, WINDOW)
-    following = np.zeros(len(at), np.uint64)
-    inside = at + PREFIX < len(grams)
-    following[inside] = grams[at[inside] + PREFIX]
-    return grams[at], following, at
+    near = np.concatenate([np.zeros(SPAN, np.uint64), words >> np.uint64(60), np.zeros(SPAN, np.uint64)])
+    step = np.arange(SPAN)
+    scale = np.uint64(4) * np.arange(SPAN - 1, -1, -1, dtype=np.uint64)
+    key = lambda places: (near[places] << scale).sum(axis=1, dtype=np.uint64)
+    return grams[at], key(at[:, None] + SPAN + PREFIX + step), key(at[:, None] + SPAN - 1 - step), at
 
 
 def runs(pairs: DataFrame) -> DataFrame:
@@ -82,8 +88,11 @@ def _agree(x: np.ndarray, y: np.ndarray) -> int:
 def repeated_passages(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """One row a maximal repeated passage of a document. ``min_words`` of at least PREFIX + WINDOW - 1 loses none."""
     docs = identified(documents, id_col, text_col)
-    pairs = neighbours(keyed_places(docs, suffix_places, ["first", "following"]), ["first", "following"], "suffixes")
-    found = materialize(runs(pairs), "suffix-runs")
+    suffixes = materialize(keyed_places(docs, suffix_places, ["first", "behind", "before"]), "suffixes")
+    forward = neighbours(suffixes, ["first", "behind"], "suffixes-behind")
+    backward = neighbours(suffixes, ["first", "before"], "suffixes-before")
+    found = materialize(runs(forward.union(backward)), "suffix-runs")
+    discard(suffixes)
     sides = found.select("uid", "low", "high", F.col("uid").alias("a"), F.col("low").alias("a_low"), F.col("other_uid").alias("b"), F.col("other_low").alias("b_low"), F.lit(0).alias("side")).union(
         found.select(F.col("other_uid").alias("uid"), F.col("other_low").alias("low"), (F.col("other_low") + F.col("high") - F.col("low")).alias("high"), "uid", "low", "other_uid", "other_low", F.lit(1))
     )

@@ -79,3 +79,14 @@ def minimisers(grams: np.ndarray, window: int) -> np.ndarray:
     least = np.minimum(backward[: n - window + 1], forward[window - 1 : n])
     places = (least & np.uint64(0xFFFFFFFF)).astype(np.int64)
     return places[np.concatenate([[True], places[1:] != places[:-1]])]
+
+
+def occurrence(keys: np.ndarray) -> np.ndarray:
+    """How many equal keys stand before each key."""
+    order = np.argsort(keys, kind="stable")
+    sorted_keys = keys[order]
+    first = np.concatenate([[True], sorted_keys[1:] != sorted_keys[:-1]])[: len(keys)]
+    starts = np.flatnonzero(first)
+    out = np.empty(len(keys), np.int64)
+    out[order] = np.arange(len(keys)) - np.repeat(starts, np.diff(np.append(starts, len(keys))))
+    return out

@@ -9,7 +9,7 @@ from lamella.llm.words import gram_hashes, minimisers, word_hashes
 def brute(docs, least=50):
     """Maximal spans of each document whose words all lie in runs of ``least`` words found elsewhere."""
     seen = {}
-    split = {d: (t or "").lower().split() for d, t in docs}
+    split = {d: (t or "").encode().lower().split() for d, t in docs}
     for d, w in split.items():
         for i in range(len(w) - least + 1):
             seen.setdefault(tuple(w[i : i + least]), []).append((d, i))
@@ -83,3 +83,13 @@ def test_words():
     m = minimisers(g, 25)
     assert np.diff(m).max() <= 25 and m[0] < 25 and len(word_hashes(None)) == 0
     assert set(minimisers(g[40:300], 25) + 40) <= set(m)
+
+
+def test_covers_the_tables_repeats(spark):
+    from lamella.llm.common import table
+
+    path = "/root/testdata/sf0.01"
+    want = brute([(r.doc_id, r.text) for r in table(spark, path, "documents").collect()])
+    got = {(r.doc_id, i) for r in sd.op10_suffix_dedup(spark, path).collect() for i in range(r.start_word, r.end_word)}
+    missing = {(d, i) for d, a, b in want for i in range(a, b)} - got
+    assert len(missing) <= 0.001 * len(got) and {d for d, _, _ in want} == {d for d, _ in got} - ({d for d, _ in got} - {d for d, _, _ in want})
