@@ -17,11 +17,11 @@ READS = [
     ("a.test", "・・・", "ja", "paged"), ("a.test", "hm", "ja", "paged"), ("a.test", "the text in the image", "ja", "paged"),
     ("b.test", "안녕하세요 여러분 만나서 반갑습니다", "ko", "strip"), ("b.test", "漢字だけ", "ko", "strip"), ("b.test", "오늘은 날씨가 참 좋네요 그렇죠", "ko", "strip"),
     ("b.test", "그래서 우리는 함께 길을 떠났습니다 아주 멀리", "ko", "strip"), ("c.test", "你好世界", "zh", "strip"), ("c.test", "これはかな", "zh", "strip"),
-    ("c.test", "www.paperleaf.test", "zh", "strip"), ("c.test", "纸叶漫画 paperleaf.test", "zh", "strip"), ("c.test", "", "zh", "strip"), ("c.test", "!!", "zh", "strip"),
+    ("c.test", "www.willowleaf.test", "zh", "strip"), ("c.test", "柳叶书屋 willowleaf.test", "zh", "strip"), ("c.test", "", "zh", "strip"), ("c.test", "!!", "zh", "strip"),
     ("c.test", "天地玄黄宇宙洪荒日月盈昃辰宿列张寒来暑往秋收冬藏闰余成岁律吕调阳云腾致雨露结为霜", "zh", "strip"), ("d.test", "is a the", "zh", "paged"),
     ("d.test", "图片中没有文字", "unknown", "paged"), ("d.test", "ＡＢＣ１２３", "unknown", "paged"),
 ]
-MARKS = ["纸叶漫画", "paperleaf"]
+MARKS = ["柳叶书屋", "willowleaf"]
 PHRASES = ["漫画", "免费"]
 STOP_WORDS = ["the", "a", "an", "of", "is", "in", "to"]
 PREFIXES = ["图片中没有", "图中没有"]

@@ -25,7 +25,7 @@ def test_text(spark):
     assert one(spark, t.strip_mark(L("A MarK and mark"), "mark"), t.is_cut(L("cut ")), t.is_cut(L(" ")), t.scream_read(L("aaab!")), t.scream_read(L("abc"))) == ("A  and ", True, False, True, False)
     assert one(spark, t.clip_bytes(L("éééé"), 5), t.clip_bytes(L("abc"), 5), t.widen_halfwidth(L("ｶﾞﾊﾟa")), t.fold_fullwidth(L("Ａ１"))) == ("éé...", "abc", "ガパａ", "A1")
     assert one(spark, t.site_address(L("(www.ab-c.net)")), t.site_address(L("a.b")), t.site_address(L("x_y.net")), t.orphaned_address_tail(L(".com!")), t.orphaned_address_tail(L("com"))) == (True, False, False, True, False)
-    assert one(spark, t.misread_plate(L("本漫書由 x.test"), ["本漫書曲"], ["免費"]), t.only_function_words(L("The a"), ["the", "a"]), t.only_function_words(L("..."), ["the"])) == (True, True, False)
+    assert one(spark, t.misread_plate(L("晨光書由 x.test"), ["晨光書曲"], ["免費"]), t.only_function_words(L("The a"), ["the", "a"]), t.only_function_words(L("..."), ["the"])) == (True, True, False)
     assert one(spark, t.degenerate_period(L("ab" * 20)), t.degenerate_period(L("ab" * 10)), t.degenerate_words(L("no " * 20)), t.normalize_placeholders(L("□□"))) == (True, False, True, "...")
     assert one(spark, t.strip_engine_preamble(L("The text is: hi"), ["The text"]), t.strip_latex(L(r"$\text{hi} x$")), t.strip_latex(L("hi")), t.squeeze(L(" a \n b "))) == ("hi", "hi x", "hi", "a b")
     assert one(spark, t.token_budget(L(1), L(None).cast("int")), t.token_budget(L(100), L(500)), t.resolve_script(L("ja-JP"), L("zh")), t.resolve_script(L("en"), L("zh"))) == (1000, 2048, "ja", "zh")
