@@ -190,3 +190,62 @@ def box_eligible(width: Column, height: Column, least: int = 300) -> Column:
 
 def rejection(width: Column, height: Column, loaded: Column, least: int = 300) -> Column:
     return F.when(~loaded, "not-loaded").when(width.isNull() | height.isNull() | (width <= 0) | (height <= 0), "no-size").when(~box_eligible(width, height, least), "too-small")
+
+
+def letters_text(label: Column, translate_effects: bool = False) -> Column:
+    """Labels that get lettered."""
+    return label.isin("text", EFFECT) if translate_effects else label == "text"
+
+
+def illegible_read(confidence: Column, role: Column, least: float = 0.55) -> Column:
+    """A free-standing read of low confidence; an unknown confidence refuses nothing."""
+    return F.coalesce((confidence < least) & ~F.coalesce(role == "dialogue", F.lit(False)), F.lit(False))
+
+
+def wire_confidence(confidence: Column) -> Column:
+    """Null outside 0 to 1."""
+    return F.when(confidence.between(0, 1), confidence)
+
+
+def spot_refuses(text: Column, script: Column, role: Column, best_coverage: Column, least: float = 0.2) -> Column:
+    """A free-standing suspect read that no spotted box covers."""
+    return ~F.coalesce(role == "dialogue", F.lit(False)) & t.spot_candidate(text, script) & (F.coalesce(best_coverage, F.lit(0.0)) < least)
+
+
+def is_synthesised(labels: Column, kind: str = "synthesised") -> Column:
+    """Any label of the kind."""
+    return F.coalesce(F.exists(labels, lambda x: x == kind), F.lit(False))
+
+
+def dialogue_relations(texts: DataFrame) -> DataFrame:
+    """Edges (kind, source, target) of texts (region, content, layer, bubble): what the text is read from, fits to and lies in."""
+    edge = lambda kind, a, b: F.struct(F.lit(kind).alias("kind"), F.col(a).alias("source"), F.col(b).alias("target"))
+    edges = F.array(edge("Presents", "layer", "content"), edge("RecognizedFrom", "content", "region"), F.struct(F.lit("FitsTo").alias("kind"), F.col("layer").alias("source"), F.coalesce("bubble", "region").alias("target")), edge("Inside", "region", "bubble"))
+    return texts.select(F.explode(edges).alias("e")).select("e.*").where("target IS NOT NULL")
+
+
+def mask_sources(detections: DataFrame, refused: DataFrame, translate_effects: bool = False) -> DataFrame:
+    """Detections whose pixels are erased: lettered labels that aren't refused (page, id)."""
+    return detections.where(letters_text(F.col("label"), translate_effects)).join(refused.select("page", "id"), ["page", "id"], "left_anti")
+
+
+def component_rows(detections: DataFrame, producer: str, model: str) -> DataFrame:
+    """Components (page, entity, kind, value, origin) of ordered detections (page, id, label, score, box, rank)."""
+    origin = F.struct(F.lit("generated").alias("by"), F.lit(producer).alias("producer"), F.lit(model).alias("model"), F.col("score").cast("double").alias("confidence"))
+    value = lambda kind, v: F.struct(F.lit(kind).alias("kind"), F.to_json(v).alias("value"))
+    parts = F.array(value("geometry", F.struct("box.*")), value("label", F.struct("label", "score")), value("order", F.struct("rank")))
+    return detections.select("page", F.col("id").alias("entity"), F.explode(parts).alias("c"), origin.alias("origin")).select("page", "entity", "c.kind", "c.value", "origin")
+
+
+def reply_report(payload: Column) -> Column:
+    """Counters of a response body, zero or false where absent."""
+    schema = "missed int, dropped int, cut boolean, duplicate_ids int, out_of_range_ids int, cut_found int, still_cut int, ms long"
+    p = F.from_json(payload, schema)
+    zero = lambda c: F.coalesce(p[c], F.lit(0)).alias(c)
+    return F.struct(*[zero(c) for c in ("missed", "dropped", "duplicate_ids", "out_of_range_ids", "cut_found", "still_cut", "ms")], F.coalesce(p["cut"], F.lit(False)).alias("cut"))
+
+
+def prompts(segments: DataFrame, context: str = "context") -> DataFrame:
+    """One request body a page: segments with their ids in order, and context pairs."""
+    seg = F.array_sort(F.collect_list(F.struct(F.col("id"), F.col("source").alias("text"))))
+    return segments.groupBy("page").agg(F.to_json(F.struct(seg.alias("segments"), F.first(context).alias("context"))).alias("body"))

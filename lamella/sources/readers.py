@@ -206,3 +206,17 @@ def packed_rows(rows: DataFrame, data: str = "data") -> DataFrame:
         return s.map(lambda b: None if b is None else pack_bits(bytes(b)))
 
     return rows.withColumn("packed", code(F.col(data)))
+
+
+def request_forms(images: DataFrame, params: DataFrame, max_bytes: int) -> DataFrame:
+    """Images (path, size, …) with their request fields (path, name, value) as a map; those over the cap are left out."""
+    fields = params.groupBy("path").agg(F.map_from_entries(F.collect_list(F.struct("name", "value"))).alias("fields"))
+    return images.where(F.col("size") <= max_bytes).join(fields, "path", "left").withColumn("fields", F.coalesce("fields", F.create_map().cast("map<string, string>")))
+
+
+def caller_placements(value: Column, most: int = 32, least_place: float = 24) -> Column:
+    """Caller's placements {x, y, width, height, place_*} from JSON; null if bad, too many or placed too small."""
+    names = ("x", "y", "width", "height", "place_x", "place_y", "place_width", "place_height")
+    rows = F.from_json(value, "array<struct<" + ", ".join(f"{n}: double" for n in names) + ">>")
+    whole = lambda p: F.coalesce((p["width"] > 0) & (p["height"] > 0) & (p["place_width"] >= least_place) & (p["place_height"] >= least_place) & p["x"].isNotNull() & p["y"].isNotNull() & p["place_x"].isNotNull() & p["place_y"].isNotNull(), F.lit(False))
+    return F.when((F.size(rows) <= most) & F.forall(rows, whole), rows)

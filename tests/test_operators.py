@@ -298,3 +298,18 @@ def test_readers(spark, tmp_path):
         return out
 
     assert unpack(readers.pack_bits(data)) == data
+
+
+def test_small_predicates(spark):
+    L = F.lit
+    assert one(spark, regions.illegible_read(L(0.3), L("free")), regions.illegible_read(L(0.3), L("dialogue")), regions.illegible_read(L(None).cast("double"), L("free")), regions.wire_confidence(L(1.5))) == (True, False, False, None)
+    assert one(spark, regions.spot_refuses(L("漢字"), L("ja"), L("free"), L(0.1)), regions.spot_refuses(L("漢字"), L("ja"), L("free"), L(0.9)), regions.is_synthesised(F.array(L("a"), L("synthesised")))) == (True, False, True)
+    tx = spark.createDataFrame([("r1", "c1", "l1", "b1"), ("r2", "c2", "l2", None)], "region string, content string, layer string, bubble string")
+    assert sorted((r.kind, r.source, r.target) for r in regions.dialogue_relations(tx).collect())[:3] == [("FitsTo", "l1", "b1"), ("FitsTo", "l2", "r2"), ("Inside", "r1", "b1")]
+    assert one(spark, regions.reply_report(L('{"missed": 2, "cut": true}')))[0].missed == 2
+    place = '[{"x":1,"y":1,"width":5,"height":5,"place_x":0,"place_y":0,"place_width":%d,"place_height":30}]'
+    assert one(spark, readers.caller_placements(L(place % 30)))[0][0].place_width == 30 and one(spark, readers.caller_placements(L(place % 3))) == (None,)
+    df = boxes_df(spark, [(1, 1, "text", 0.5, 0, 0, 1, 1)]).withColumn("rank", F.lit(0))
+    assert sorted(r.kind for r in regions.component_rows(df, "det", "m").collect()) == ["geometry", "label", "order"]
+    seg = spark.createDataFrame([(1, 1, "b"), (1, 0, "a")], "page long, id long, source string").withColumn("context", F.array(F.lit("x")))
+    assert regions.prompts(seg).first().body == '{"segments":[{"id":0,"text":"a"},{"id":1,"text":"b"}],"context":["x"]}'
