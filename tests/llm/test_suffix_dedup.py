@@ -92,4 +92,4 @@ def test_covers_the_tables_repeats(spark):
     want = brute([(r.doc_id, r.text) for r in table(spark, path, "documents").collect()])
     got = {(r.doc_id, i) for r in sd.op10_suffix_dedup(spark, path).collect() for i in range(r.start_word, r.end_word)}
     missing = {(d, i) for d, a, b in want for i in range(a, b)} - got
-    assert len(missing) <= 0.001 * len(got) and {d for d, _, _ in want} == {d for d, _ in got} - ({d for d, _ in got} - {d for d, _, _ in want})
+    assert len(missing) <= 0.001 * len(got) and {d for d, _, _ in want} <= {d for d, _ in got}
