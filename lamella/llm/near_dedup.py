@@ -53,6 +53,8 @@ LEAF = 96
 DEPTH = 4
 BLOCK = 128
 PIVOTS = 4
+#: Join keys that a group's rows are spread over.
+SALT = 32
 #: Of 128 one-byte sketch positions: 0.75 less four standard errors of 0.038.
 SKETCH_CUT = int(SIZE * 0.597)
 
@@ -319,13 +321,23 @@ def _task(frame: DataFrame, left, right, side: int) -> DataFrame:
     return frame.select("group", left.alias("l"), right.alias("r"), F.lit(side).alias("side"), "sid", "linked", "sketch", "shingles")
 
 
+def _dealt(members: DataFrame) -> DataFrame:
+    """Members with a part number, which spreads a hot group's rows over SALT join keys."""
+    return members.withColumn("part", F.pmod(F.hash("sid"), F.lit(SALT)))
+
+
+def _copied(few: DataFrame) -> DataFrame:
+    """Rows that belong to a whole group, one for each part of it."""
+    return few.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+
+
 def pivot_pairing(state: DataFrame, first: DataFrame) -> DataFrame:
     """Each block of a large group against the group's PIVOTS members with most matches."""
     matches = first.where("b IS NULL").select(F.col("a").alias("sid"), "matches")
     best = F.max_by(F.col("sid"), F.struct("matches", "sid"))
     scored = state.select("group", "block", "sid").join(matches, "sid").withColumn("slot", F.pmod(F.hash("sid"), F.lit(PIVOTS)))
     pivots = scored.groupBy("group", "slot").agg(best.alias("sid")).select("group", "sid")
-    chosen = state.join(pivots, ["group", "sid"], "left_semi")
+    chosen = state.join(pivots, ["group", "sid"], "left_semi")  # PIVOTS rows a group at most
     blocks = state.select("group", F.col("block").alias("at")).distinct()
     return _task(state, F.col("block"), F.lit(-1), 0).union(_task(chosen.join(blocks, "group"), F.col("at"), F.lit(-1), 1))
 
@@ -334,11 +346,12 @@ def rest_pairing(state: DataFrame, first: DataFrame) -> DataFrame:
     """Members outside their group's largest part, in blocks, against every block of the group."""
     sizes = state.groupBy("group", "linked").agg(F.count("*").alias("n"))
     largest = sizes.groupBy("group").agg(F.max_by(F.col("linked"), F.struct("n", "linked")).alias("largest"))
-    rest = state.join(largest, "group").where("linked <> largest").drop("largest")
+    dealt = _dealt(state)
+    rest = dealt.join(_copied(largest), ["group", "part"]).where("linked <> largest").drop("largest")
     blocks = state.select("group", F.col("block").alias("at")).distinct()
     asked = rest.select("group", F.col("block").alias("from")).distinct()
-    targets = state.join(asked, "group")
-    return _task(rest.join(blocks, "group"), F.col("block"), F.col("at"), 0).union(_task(targets, F.col("from"), F.col("block"), 1))
+    left, right = rest.join(_copied(blocks), ["group", "part"]), dealt.join(_copied(asked), ["group", "part"])
+    return _task(left, F.col("block"), F.col("at"), 0).union(_task(right, F.col("from"), F.col("block"), 1))
 
 
 def full_sets(documents: DataFrame, chosen: DataFrame, id_col: str, text_col: str) -> DataFrame:
