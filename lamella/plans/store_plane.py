@@ -79,7 +79,7 @@ CASE op WHEN 'insert' THEN 'delete' WHEN 'delete' THEN 'insert' WHEN 'set' THEN
 
 
 def store_gc(spark, sf_dir):
-    """Parts that no line item of late orders references: count and size reclaimed."""
+    """Parts that no line item of every eighth order references: count and size reclaimed."""
     blobs = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("blob_id"), F.col("p_size").cast("long").alias("size"))
     refs = table(spark, sf_dir, "lineitem").where("l_orderkey % 8 = 0").select(F.array("l_partkey").alias("blob_refs"))
     leased = blobs.where("blob_id % 50 = 0")
@@ -90,6 +90,17 @@ STORE_GC = """
 SELECT count(*) AS blobs, CAST(sum(p_size) AS BIGINT) AS bytes FROM part WHERE p_partkey % 50 <> 0 AND p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_orderkey % 8 = 0)"""
 
 
+def store_gc_shipped(spark, sf_dir):
+    """Parts that no line item shipped from a date on references: count and size reclaimed."""
+    blobs = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("blob_id"), F.col("p_size").cast("long").alias("size"))
+    refs = table(spark, sf_dir, "lineitem").where("l_shipdate >= TIMESTAMP_NTZ '2001-07-01'").select(F.array("l_partkey").alias("blob_refs"))
+    return store.reclaimed(store.collect_garbage(blobs, store.referenced_blobs(refs)))
+
+
+STORE_GC_SHIPPED = """
+SELECT count(*) AS blobs, CAST(coalesce(sum(p_size), 0) AS BIGINT) AS bytes FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_shipdate >= TIMESTAMP '2001-07-01')"""
+
+
 def _tree(spark, sf_dir):
     r = table(spark, sf_dir, "region").select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("id"), F.lit(None).cast("string").alias("parent"), F.col("r_regionkey").cast("long").alias("position"))
     n = table(spark, sf_dir, "nation").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("id"), F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("parent"), F.col("n_nationkey").cast("long").alias("position"))
@@ -153,6 +164,18 @@ t AS (SELECT 'p40' AS id WHERE EXISTS (SELECT 1 FROM r WHERE b = 'p40') UNION SE
 SELECT id FROM t"""
 
 
+def relation_closure_all(spark, sf_dir):
+    """Orders and parts joined to a part by line items, two ways, over all line items."""
+    rel = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("o"), F.col("l_orderkey").cast("string")).alias("source"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("target"))
+    return store.closure(rel, rel.where("target = 'p40'").select(F.col("target").alias("id")).distinct())
+
+
+RELATION_CLOSURE_ALL = """
+WITH RECURSIVE r AS (SELECT 'o' || l_orderkey AS a, 'p' || l_partkey AS b FROM lineitem), u AS (SELECT a, b FROM r UNION SELECT b, a FROM r),
+t AS (SELECT 'p40' AS id WHERE EXISTS (SELECT 1 FROM r WHERE b = 'p40') UNION SELECT u.b FROM t JOIN u ON u.a = t.id)
+SELECT id FROM t"""
+
+
 def relation_rules(spark, sf_dir):
     """Functional relations with several targets, and ends of the wrong kind."""
     li = table(spark, sf_dir, "lineitem")
@@ -232,7 +255,7 @@ SELECT stage, count(*) AS n FROM (
 
 QUERIES = {
     "store_fold": (store_fold, STORE_FOLD), "store_changes": (store_changes, STORE_CHANGES), "store_conflicts": (store_conflicts, STORE_CONFLICTS), "store_undo": (store_undo, STORE_UNDO),
-    "store_gc": (store_gc, STORE_GC), "subtree": (subtree, SUBTREE), "unique_roots": (unique_roots, UNIQUE_ROOTS), "visual_order": (visual_order, VISUAL_ORDER),
-    "relation_closure": (relation_closure, RELATION_CLOSURE), "relation_rules": (relation_rules, RELATION_RULES), "checkpoint_due": (checkpoint_due, CHECKPOINT_DUE),
+    "store_gc": (store_gc, STORE_GC), "store_gc_shipped": (store_gc_shipped, STORE_GC_SHIPPED), "subtree": (subtree, SUBTREE), "unique_roots": (unique_roots, UNIQUE_ROOTS), "visual_order": (visual_order, VISUAL_ORDER),
+    "relation_closure": (relation_closure, RELATION_CLOSURE), "relation_closure_all": (relation_closure_all, RELATION_CLOSURE_ALL), "relation_rules": (relation_rules, RELATION_RULES), "checkpoint_due": (checkpoint_due, CHECKPOINT_DUE),
     "guard_verdicts": (guard_verdicts, GUARD_VERDICTS), "export_names": (export_names, EXPORT_NAMES), "stage_schedule": (stage_schedule, STAGE_SCHEDULE),
 }

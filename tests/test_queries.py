@@ -18,3 +18,18 @@ def test_entry(spark):
 
 def test_names_are_known():
     assert set(entry_point.oracle_sql()) <= set(entry_point.queries())
+
+
+def test_closure_covers_all_line_items(spark):
+    """The whole closure reaches parts that the filtered one leaves out; a breadth-first loop gives the same."""
+    path = "/root/testdata/sf0.001"
+    near = {}
+    for r in spark.read.parquet(f"{path}/lineitem.parquet").select("l_orderkey", "l_partkey").collect():
+        near.setdefault(f"o{r.l_orderkey}", set()).add(f"p{r.l_partkey}")
+        near.setdefault(f"p{r.l_partkey}", set()).add(f"o{r.l_orderkey}")
+    seen, front = {"p40"}, {"p40"}
+    while front:
+        front = {y for x in front for y in near[x]} - seen
+        seen |= front
+    got = {r.id for r in catalog.queries()["relation_closure_all"](spark, path).collect()}
+    assert got == seen and any(x[0] == "p" and int(x[1:]) % 40 for x in got)
