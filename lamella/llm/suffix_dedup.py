@@ -7,7 +7,7 @@ content alone, so a repeat of ``MIN_WORDS`` words or more shares at least one
 retained suffix with its other places. Suffixes are sorted by their prefix and
 the words behind it and compared with their neighbours, then sorted by their
 prefix and the words before it, last one first, and compared again, so that
-the place with the longest common words on either side comes next. Neighbours
+the place with the longest common words, up to ``SPAN`` on either side, comes next. Neighbours
 that share the prefix start a match. Matches on one diagonal of two documents
 are joined, then extended left and right, word by word.
 
@@ -39,8 +39,10 @@ PREFIX = 25
 WINDOW = 25
 #: Words read on either side of a run; a maximal match reaches at most WINDOW words beyond its outer suffixes.
 MARGIN = 64
-#: Words in an order key, four bits of each word's hash.
-SPAN = 16
+#: Words in the order keys of one side, four bits of each word's hash; with the prefix more than MIN_WORDS.
+SPAN = 32
+#: Words in one key of 64 bits.
+PACKED = 16
 
 
 def suffix_places(text: bytes) -> tuple[np.ndarray, ...]:
@@ -49,10 +51,12 @@ def suffix_places(text: bytes) -> tuple[np.ndarray, ...]:
     grams = gram_hashes(words, PREFIX)
     at = minimisers(grams, WINDOW)
     near = np.concatenate([np.zeros(SPAN, np.uint64), words >> np.uint64(60), np.zeros(SPAN, np.uint64)])
-    step = np.arange(SPAN)
-    scale = np.uint64(4) * np.arange(SPAN - 1, -1, -1, dtype=np.uint64)
+    step = np.arange(PACKED)
+    scale = np.uint64(4) * np.arange(PACKED - 1, -1, -1, dtype=np.uint64)
     key = lambda places: (near[places] << scale).sum(axis=1, dtype=np.uint64)
-    return grams[at], key(at[:, None] + SPAN + PREFIX + step), key(at[:, None] + SPAN - 1 - step), at
+    behind = [key(at[:, None] + SPAN + PREFIX + i + step) for i in range(0, SPAN, PACKED)]
+    before = [key(at[:, None] + SPAN - 1 - i - step) for i in range(0, SPAN, PACKED)]
+    return grams[at], *behind, *before, at
 
 
 def runs(pairs: DataFrame) -> DataFrame:
@@ -88,9 +92,10 @@ def _agree(x: np.ndarray, y: np.ndarray) -> int:
 def repeated_passages(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """One row a maximal repeated passage of a document. ``min_words`` of at least PREFIX + WINDOW - 1 loses none."""
     docs = identified(documents, id_col, text_col)
-    suffixes = materialize(keyed_places(docs, suffix_places, ["first", "behind", "before"]), "suffixes")
-    forward = neighbours(suffixes, ["first", "behind"], "suffixes-behind")
-    backward = neighbours(suffixes, ["first", "before"], "suffixes-before")
+    behind, before = ([f"{side}{i}" for i in range(SPAN // PACKED)] for side in ("behind", "before"))
+    suffixes = materialize(keyed_places(docs, suffix_places, ["first", *behind, *before]), "suffixes")
+    forward = neighbours(suffixes, ["first", *behind], "suffixes-behind")
+    backward = neighbours(suffixes, ["first", *before], "suffixes-before")
     found = materialize(runs(forward.union(backward)), "suffix-runs")
     discard(suffixes)
     sides = found.select("uid", "low", "high", F.col("uid").alias("a"), F.col("low").alias("a_low"), F.col("other_uid").alias("b"), F.col("other_low").alias("b_low"), F.lit(0).alias("side")).union(

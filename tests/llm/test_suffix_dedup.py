@@ -93,3 +93,14 @@ def test_covers_the_tables_repeats(spark):
     got = {(r.doc_id, i) for r in sd.op10_suffix_dedup(spark, path).collect() for i in range(r.start_word, r.end_word)}
     missing = {(d, i) for d, a, b in want for i in range(a, b)} - got
     assert len(missing) <= 0.001 * len(got) and {d for d, _, _ in want} <= {d for d, _ in got}
+
+
+def test_large_group_of_edited_copies(spark):
+    """2,000 copies of one text, 6 % of the words changed in each: the order keys must reach MIN_WORDS."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    base = [word() for _ in range(120)]
+    docs = [(i, " ".join(word() if rng.random() < 0.06 else w for w in base)) for i in range(2000)]
+    got = {(r.doc_id, i) for r in sd.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect() for i in range(r.start_word, r.end_word)}
+    want = {(d, i) for d, a, b in brute(docs) for i in range(a, b)}
+    assert {d for d, _ in want} <= {d for d, _ in got} and len(want - got) <= 0.001 * len(want), (len(want - got), len(want))
