@@ -174,13 +174,13 @@ def relation_lookup(rows: DataFrame, relations: DataFrame, kind: str, source: st
     return rows.join(one, source, "left")
 
 
-def closure(relations: DataFrame, seeds: DataFrame, max_rounds: int = 64) -> DataFrame:
-    """Entities joined to the seeds (id) by relations in either direction; the frontier shrinks by an anti join each round."""
+def closure(relations: DataFrame, seeds: DataFrame) -> DataFrame:
+    """Entities joined to the seeds (id) by relations in either direction; rounds go on until none is new."""
     from lamella.sources.tables import written
 
     edges = relations.select(F.col("source").alias("id"), F.col("target").alias("to")).union(relations.select(F.col("target").alias("id"), F.col("source").alias("to")))
     reached = frontier = seeds.select("id").distinct()
-    for _ in range(max_rounds):
+    while True:
         frontier = written(frontier.join(edges, "id").select(F.col("to").alias("id")).distinct().join(reached, "id", "left_anti"))
         if not frontier.limit(1).count():
             break

@@ -313,3 +313,10 @@ def test_small_predicates(spark):
     assert sorted(r.kind for r in regions.component_rows(df, "det", "m").collect()) == ["geometry", "label", "order"]
     seg = spark.createDataFrame([(1, 1, "b"), (1, 0, "a")], "page long, id long, source string").withColumn("context", F.array(F.lit("x")))
     assert regions.prompts(seg).first().body == '{"segments":[{"id":0,"text":"a"},{"id":1,"text":"b"}],"context":["x"]}'
+
+
+def test_closure_of_a_long_chain(spark):
+    """Entities more than 64 relations away from the seed are reached."""
+    rel = spark.createDataFrame([(i, i + 1) for i in range(67)], "source long, target long").coalesce(1)
+    seeds = spark.createDataFrame([(0,)], "id long").coalesce(1)
+    assert {r.id for r in store.closure(rel, seeds).collect()} == set(range(68))
