@@ -14,16 +14,19 @@ from pyspark.sql import types as T
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the folder. Arrow batches are kept small, as texts can be long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def scratch_root(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 
-    Where the setting is missing (tests on one machine) a folder under /tmp is
-    used; a cluster must name one.
+    A cluster must name one. Only on a local master, as in tests, a folder
+    under /tmp is used where the setting is missing.
     """
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     return (found or "/tmp/checkpoints").rstrip("/")
 
 

@@ -18,6 +18,9 @@ from pyspark.sql import functions as F
 from lamella.llm.common import materialize, texts_of
 from lamella.llm.words import occurrence
 
+#: Bytes of words that with_words holds before it puts them out.
+WORDS_BYTES = 8 << 20
+
 
 def identified(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.col(text_col).cast("string")
@@ -107,27 +110,35 @@ def with_words(requests: DataFrame, documents: DataFrame, carry: list[str], marg
     joined = grouped.join(documents, "uid").select("uid", "doc_id", "text", "asked")
     schema = "uid bigint, doc_id bigint, n_words int, " + ", ".join(f"{f} {kinds[f]}" for f in fields) + ", words binary"
 
+    arrow = {"bigint": pa.int64(), "int": pa.int32()}
+    types = [pa.int64(), pa.int64(), pa.int32(), *(arrow[kinds[f]] for f in fields), pa.binary()]
+
     def run(batches):
         for batch in batches:
-            cols = [[] for _ in range(len(fields) + 4)]
+            cols, size = [[] for _ in types], 0
             for uid, doc, text, asked in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts_of(batch.column(2)), batch.column(3).to_pylist()):
                 h = (hashes(text) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
                 for q in asked:
                     part = h[max(0, q["low"] - margin) : q["high"] + margin].tobytes()
+                    size += len(part)
                     for c, v in zip(cols, (uid, doc, len(h), *(q[f] for f in fields), part)):
                         c.append(v)
-            arrow = {"bigint": pa.int64(), "int": pa.int32()}
-            types = [pa.int64(), pa.int64(), pa.int32(), *(arrow[kinds[f]] for f in fields), pa.binary()]
+                    if size >= WORDS_BYTES:
+                        yield out(cols)
+                        cols, size = [[] for _ in types], 0
             if cols[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["uid", "doc_id", "n_words", *fields, "words"])
+                yield out(cols)
+
+    def out(cols):
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["uid", "doc_id", "n_words", *fields, "words"])
 
     return joined.mapInArrow(run, schema)
 
 
-def merged_spans(sides: DataFrame, min_words: int) -> DataFrame:
-    """Spans (doc_id, uid, low, high, other_doc) united per document: one row a maximal passage.
+def merged_spans(sides: DataFrame) -> DataFrame:
+    """Spans (doc_id, uid, low, high, other_doc, identity) that touch or overlap united: one row a run of words.
 
-    A document's spans number a few for each of its own places, so a window
+    Each span must be long enough by itself; nothing is filtered here. A document's spans number a few for each of its own places, so a window
     over one document is bounded by its length.
     """
     from pyspark.sql import Window
@@ -140,6 +151,6 @@ def merged_spans(sides: DataFrame, min_words: int) -> DataFrame:
         F.first("doc_id").alias("doc_id"), F.min("low").alias("start_word"), F.max("high").alias("end_word"),
         F.sort_array(F.collect_set("other_doc")).alias("other_docs"), F.max("identity").alias("identity"),
     )
-    return out.where(F.col("end_word") - F.col("start_word") >= min_words).select(
+    return out.select(
         "doc_id", "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"), "other_docs", "identity"
     )

@@ -66,8 +66,8 @@ def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
     return mix((sums[k:] - sums[:n]) * inverses[:n])
 
 
-def minimisers(grams: np.ndarray, window: int) -> np.ndarray:
-    """Positions that are the least hash, leftmost on ties, of some ``window`` grams in a row."""
+def least_positions(grams: np.ndarray, window: int) -> np.ndarray:
+    """For each ``window`` grams in a row the position of the least hash, leftmost on ties."""
     n = len(grams)
     if n < window:
         return np.zeros(0, np.int64)
@@ -77,8 +77,13 @@ def minimisers(grams: np.ndarray, window: int) -> np.ndarray:
     forward = np.minimum.accumulate(blocks, axis=1).ravel()
     backward = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
     least = np.minimum(backward[: n - window + 1], forward[window - 1 : n])
-    places = (least & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    return places[np.concatenate([[True], places[1:] != places[:-1]])]
+    return (least & np.uint64(0xFFFFFFFF)).astype(np.int64)
+
+
+def minimisers(grams: np.ndarray, window: int) -> np.ndarray:
+    """Positions that are the least hash, leftmost on ties, of some ``window`` grams in a row."""
+    places = least_positions(grams, window)
+    return places[np.concatenate([[True], places[1:] != places[:-1]])] if len(places) else places
 
 
 def occurrence(keys: np.ndarray) -> np.ndarray:

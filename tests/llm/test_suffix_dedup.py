@@ -54,11 +54,8 @@ def test_against_brute_force(spark):
     got = {(r.doc_id, r.start_word, r.end_word): r.other_docs for r in sd.repeated_passages(df).collect()}
     want = brute(docs)
     covered = lambda spans: {(d, i) for d, a, b in spans for i in range(a, b)}
-    assert covered(want) <= covered(got)
-    # Beyond the runs of 50 words only shorter runs that touch or overlap them may be reported.
+    assert set(got) == want and covered(want) == covered(got)
     texts = {d: (t or "").lower().split() for d, t in docs}
-    short = brute(docs, 25)
-    assert covered(got) <= covered(short) and all(b - a >= 50 for _, a, b in got)
     assert got[100, 0, len(texts[100])]
     assert any(d == 105 for d, _, _ in got)
     clean = {d for d, _ in docs} - {d for d, _, _ in want}
@@ -104,3 +101,24 @@ def test_large_group_of_edited_copies(spark):
     got = {(r.doc_id, i) for r in sd.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect() for i in range(r.start_word, r.end_word)}
     want = {(d, i) for d, a, b in brute(docs) for i in range(a, b)}
     assert {d for d, _ in want} <= {d for d, _ in got} and len(want - got) <= 0.001 * len(want), (len(want - got), len(want))
+    assert got == want
+
+
+def test_shorter_matches_with_several_texts_are_no_passage(spark):
+    """100 words that stand in three other texts, 49 at a time and overlapping, hold no repeat of 50 words."""
+    rng = random.Random(17)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    fresh = lambda n: [word() for _ in range(n)]
+    base = fresh(100)
+    docs = [(1, " ".join(base))] + [(2 + k, " ".join(fresh(40) + base[a : a + 49] + fresh(40))) for k, a in enumerate((0, 30, 51))]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert sd.repeated_passages(df).count() == 0
+    more = df.union(spark.createDataFrame([(9, " ".join(fresh(3) + base[20:70] + fresh(3)))], "doc_id long, text string"))
+    assert sorted((r.doc_id, r.start_word, r.end_word, r.other_docs) for r in sd.repeated_passages(more).collect()) == [(1, 20, 70, [9]), (9, 3, 53, [1])]
+
+
+def test_other_lengths(spark):
+    docs = make_docs()
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    for least in (55, 110):
+        assert {(r.doc_id, r.start_word, r.end_word) for r in sd.repeated_passages(df, min_words=least).collect()} == brute(docs, least)
