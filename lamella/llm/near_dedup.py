@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 
 from lamella.llm.common import materialize, table, texts_of
 from lamella.llm.components import components
-from lamella.llm.words import gram_hashes, mix, word_hashes
+from lamella.llm.words import gram_hashes, mix, word_hashes, word_hashes_of
 
 SHINGLE = 5
 THRESHOLD = 75  # per cent
@@ -65,7 +65,11 @@ _OFFSETS = _RNG.integers(0, 1 << 32, SIZE, dtype=np.uint32)
 
 def shingles(text: bytes | None, k: int = SHINGLE) -> np.ndarray:
     """Sorted distinct hashes of the k-word shingles; of the whole sequence if it is shorter."""
-    words = word_hashes(text)
+    return shingles_of(word_hashes(text), k)
+
+
+def shingles_of(words: np.ndarray, k: int = SHINGLE) -> np.ndarray:
+    """shingles of the words with these hashes."""
     return np.unique(gram_hashes(words, min(k, len(words)))) if len(words) else np.zeros(0, np.uint64)
 
 
@@ -97,8 +101,8 @@ def signatures(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
     def run(batches):
         for batch in batches:
             n, sid, tokens = [], [], []
-            for t in texts_of(batch.column(2)):
-                s = shingles(t)
+            for words in word_hashes_of(texts_of(batch.column(2))):
+                s = shingles_of(words)
                 n.append(len(s))
                 sid.append(xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) if len(s) else None)
                 tokens.append(minwise(s).tobytes() if len(s) else None)
@@ -362,7 +366,7 @@ def full_sets(documents: DataFrame, chosen: DataFrame, id_col: str, text_col: st
 
     def run(batches):
         for batch in batches:
-            sets = [shingles(t).tobytes() for t in texts_of(batch.column(2))]
+            sets = [shingles_of(words).tobytes() for words in word_hashes_of(texts_of(batch.column(2)))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.binary())], names=["sid", "sketch", "shingles"])
 
     return joined.mapInArrow(run, "sid long, sketch binary, shingles binary").dropDuplicates(["sid"])

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lamella.llm.common import materialize, texts_of
-from lamella.llm.words import occurrence
+from lamella.llm.words import occurrence, word_hashes_of
 
 #: Bytes of words that with_words holds before it puts them out.
 WORDS_BYTES = 8 << 20
@@ -29,16 +29,16 @@ def identified(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
-def keyed_places(documents: DataFrame, places: Callable[[bytes], tuple[np.ndarray, ...]], keys: list[str]) -> DataFrame:
-    """Rows (keys..., nth, uid, pos) of the places that ``places`` picks in a text; nth counts equal first keys of the text."""
+def keyed_places(documents: DataFrame, places: Callable[[np.ndarray], tuple[np.ndarray, ...]], keys: list[str]) -> DataFrame:
+    """Rows (keys..., nth, uid, pos) of the places that ``places`` picks among a text's word hashes; nth counts equal first keys of the text."""
     names = [*keys, "nth", "uid", "pos"]
     schema = ", ".join(f"{k} long" for k in keys) + ", nth int, uid long, pos int"
 
     def run(batches):
         for batch in batches:
             cols = [[] for _ in names]
-            for uid, text in zip(batch.column(0).to_pylist(), texts_of(batch.column(1))):
-                *hashes, pos = places(text)
+            for uid, words in zip(batch.column(0).to_pylist(), word_hashes_of(texts_of(batch.column(1)))):
+                *hashes, pos = places(words)
                 if len(pos):
                     for c, h in zip(cols, hashes):
                         c.append(h.view(np.int64))
@@ -98,7 +98,7 @@ def neighbours(written: DataFrame, keys: list[str], label: str) -> DataFrame:
     return pairs.union(spark.createDataFrame(across, "uid long, pos int, other_uid long, other_pos int")) if across else pairs
 
 
-def with_words(requests: DataFrame, documents: DataFrame, carry: list[str], margin: int, hashes: Callable[[bytes], np.ndarray]) -> DataFrame:
+def with_words(requests: DataFrame, documents: DataFrame, carry: list[str], margin: int) -> DataFrame:
     """requests (uid, low, high, carry...) with doc_id, n_words and the word hashes of [low - margin, high + margin) as bytes.
 
     A document's requests are gathered in one row, so each text moves once; a
@@ -116,8 +116,8 @@ def with_words(requests: DataFrame, documents: DataFrame, carry: list[str], marg
     def run(batches):
         for batch in batches:
             cols, size = [[] for _ in types], 0
-            for uid, doc, text, asked in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts_of(batch.column(2)), batch.column(3).to_pylist()):
-                h = (hashes(text) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+            for uid, doc, words, asked in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), word_hashes_of(texts_of(batch.column(2))), batch.column(3).to_pylist()):
+                h = (words & np.uint64(0xFFFFFFFF)).astype(np.uint32)
                 for q in asked:
                     part = h[max(0, q["low"] - margin) : q["high"] + margin].tobytes()
                     size += len(part)

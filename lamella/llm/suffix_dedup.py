@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 
 from lamella.llm.common import discard, materialize, table, texts_of
 from lamella.llm.passages import identified, keyed_places, merged_spans, neighbours, with_words
-from lamella.llm.words import gram_hashes, least_positions, minimisers, occurrence, word_hashes
+from lamella.llm.words import gram_hashes, least_positions, minimisers, occurrence, word_hashes_of
 
 MIN_WORDS = 50
 PREFIX = 25
@@ -63,12 +63,11 @@ SIDES = (["behind0", "behind1"], ["before0", "before1"])
 PLACE = ["first", *SIDES[0], *SIDES[1], "nth", "uid", "pos"]
 
 
-def suffix_places(text: bytes) -> tuple[np.ndarray, ...]:
+def suffix_places(words: np.ndarray) -> tuple[np.ndarray, ...]:
     """Of the retained suffixes: hash of the first PREFIX words, order keys of the words behind and before those, position.
 
     The low 28 bits of a side's second key are a hash of all its words, so that equal keys mean equal words.
     """
-    words = word_hashes(text)
     grams = gram_hashes(words, PREFIX)
     at = minimisers(grams, WINDOW)
     fill = np.zeros(SPAN, np.uint64)
@@ -255,8 +254,7 @@ def owned_windows(singles: DataFrame, docs: DataFrame, min_words: int) -> DataFr
 
     def run(batches):
         for batch in batches:
-            for uid, text, places in zip(batch.column(0).to_pylist(), texts_of(batch.column(1)), batch.column(2).to_pylist()):
-                words = word_hashes(text)
+            for uid, words, places in zip(batch.column(0).to_pylist(), word_hashes_of(texts_of(batch.column(1))), batch.column(2).to_pylist()):
                 hashes = gram_hashes(words, min_words)
                 owner = least_positions(gram_hashes(words, PREFIX), WINDOW)[: len(hashes)]
                 at = np.flatnonzero(np.isin(owner, np.array(places)))
@@ -325,7 +323,7 @@ def repeated_passages(documents: DataFrame, id_col: str = "doc_id", text_col: st
     sides = found.select("uid", "low", "high", F.col("uid").alias("a"), F.col("low").alias("a_low"), F.col("other_uid").alias("b"), F.col("other_low").alias("b_low"), F.lit(0).alias("side")).union(
         found.select(F.col("other_uid").alias("uid"), F.col("other_low").alias("low"), (F.col("other_low") + F.col("high") - F.col("low")).alias("high"), "uid", "low", "other_uid", "other_low", F.lit(1))
     )
-    words = with_words(sides, docs, ["a", "a_low", "b", "b_low", "side"], MARGIN, word_hashes)
+    words = with_words(sides, docs, ["a", "a_low", "b", "b_low", "side"], MARGIN)
     row = F.struct("side", "doc_id", "words")
     both = words.groupBy("a", "a_low", "b", "b_low").agg(F.max(F.col("high") - F.col("low")).alias("size"), F.min(row).alias("x"), F.max(row).alias("y"))
     both = both.select("a", "a_low", "b", "b_low", "size", F.col("x.doc_id").alias("a_doc"), F.col("x.words").alias("aw"), F.col("y.doc_id").alias("b_doc"), F.col("y.words").alias("bw"))

@@ -2,34 +2,90 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 import xxhash
 
-#: Words that a worker's cache holds at most; a full cache starts anew.
-CACHE_ENTRIES = 500_000
 _P = 0x9E3779B97F4A7C15
 _INVERSE = pow(_P, -1, 1 << 64)
-
-
-class WordHasher(dict):
-    """64-bit hash of each word (bytes); the dict is the cache."""
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = out = xxhash.xxh3_64_intdigest(word)
-        return out
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        if len(self) > CACHE_ENTRIES:
-            self.clear()
-        return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
-
-
-HASHER = WordHasher()
+#: Bytes of a text that are hashed at once; a longer word is still one word.
+CHUNK = 1 << 20
+#: Bytes of a word that are hashed in blocks of eight; a longer one goes to xxhash.
+LONG = 256
+#: Bytes of short texts that are hashed in one go.
+TOGETHER = 1 << 17
+_IS_SPACE = bytes(b == 0x20 or 0x09 <= b <= 0x0D for b in range(256))
+_LOW_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
 def word_hashes(text: bytes | None) -> np.ndarray:
-    """Hashes of the words between ASCII white space, A-Z lower-cased."""
-    return HASHER.of(text.lower().split() if text else [])
+    """64-bit hashes of the words between ASCII white space, A-Z lower-cased."""
+    if not text:
+        return np.zeros(0, np.uint64)
+    low, out, at = text.lower(), [], 0
+    while len(low) - at > CHUNK:
+        end = _next_space(low, at + CHUNK)
+        out.append(_hashed(low[at:end])[0])
+        at = end
+    out.append(_hashed(low[at:] if at else low)[0])
+    return np.concatenate(out) if len(out) > 1 else out[0]
+
+
+def word_hashes_of(texts: Iterable[bytes | None]) -> Iterator[np.ndarray]:
+    """word_hashes of each text; short ones are hashed together."""
+    held, size = [], 0
+    for text in texts:
+        if text and len(text) > TOGETHER:
+            yield from _together(held)
+            yield word_hashes(text)
+            held, size = [], 0
+            continue
+        held.append(text or b"")
+        size += len(held[-1])
+        if size > TOGETHER:
+            yield from _together(held)
+            held, size = [], 0
+    yield from _together(held)
+
+
+def _together(texts: list[bytes]) -> Iterator[np.ndarray]:
+    if texts:
+        h, starts = _hashed(b"\n".join(texts).lower())
+        ends = np.searchsorted(starts, np.cumsum([len(t) + 1 for t in texts])).tolist()
+        for i, j in zip([0, *ends], ends):
+            yield h[i:j]
+
+
+def _next_space(low: bytes, at: int) -> int:
+    """The first place from ``at`` on with white space, else the end."""
+    while at < len(low):
+        found = np.flatnonzero(np.frombuffer(low[at : at + CHUNK].translate(_IS_SPACE), bool))
+        if len(found):
+            return at + int(found[0])
+        at += CHUNK
+    return len(low)
+
+
+def _hashed(low: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and starts of the words."""
+    space = np.frombuffer(b"\x01" + low.translate(_IS_SPACE) + b"\x01", bool)
+    edges = np.flatnonzero(space[1:] != space[:-1])
+    starts, sizes = edges[::2], np.diff(edges)[::2]
+    # Eight bytes from every place on; bytes behind the word are masked.
+    eights = np.ndarray(len(low), "<u8", low + bytes(8), 0, (1,))
+    h = mix((eights[starts] & _LOW_BYTES[np.minimum(sizes, 8)]) ^ sizes.astype(np.uint64) * np.uint64(_P))
+    left = np.flatnonzero(sizes > 8)
+    if len(left):
+        for i in left[sizes[left] > LONG].tolist():
+            h[i] = xxhash.xxh3_64_intdigest(low[starts[i] : starts[i] + sizes[i]])
+        done = 8
+        left = left[sizes[left] <= LONG]
+        while len(left):
+            h[left] = mix(h[left] ^ (eights[starts[left] + done] & _LOW_BYTES[np.minimum(sizes[left] - done, 8)]))
+            done += 8
+            left = left[sizes[left] > done]
+    return h, starts
 
 
 _POWERS = np.ones(1, np.uint64)
