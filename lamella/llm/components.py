@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamella.llm.common import materialize
+from lamella.llm.common import discard, materialize
 
 
 def components(edges: DataFrame, label: str = "cc") -> DataFrame:
@@ -26,18 +26,23 @@ def components(edges: DataFrame, label: str = "cc") -> DataFrame:
             labels = parents
         else:
             step = parents.select(F.col("node").alias("root"), F.col("root").alias("next"))
-            labels = materialize(labels.join(step, "root", "left").select("node", F.coalesce("next", "root").alias("root")), label + "-labels")
+            before, labels = labels, materialize(labels.join(step, "root", "left").select("node", F.coalesce("next", "root").alias("root")), label + "-labels")
+            discard(before)
         p, q = parents.select(F.col("node").alias("a"), F.col("root").alias("ra")), parents.select(F.col("node").alias("b"), F.col("root").alias("rb"))
-        live = live.join(p, "a").join(q, "b").select(F.col("ra").alias("a"), F.col("rb").alias("b")).where("a <> b").distinct()
-        live = materialize(live, label + "-edges")
+        left = live.join(p, "a").join(q, "b").select(F.col("ra").alias("a"), F.col("rb").alias("b")).where("a <> b").distinct()
+        before, live = live, materialize(left, label + "-edges")
+        discard(before)
+        if labels is not parents:
+            discard(parents)
     return labels if labels is not None else live.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
 def flatten(parents: DataFrame, label: str) -> DataFrame:
-    """parents with every root its own parent; the forest's depth halves each time."""
+    """parents with every root its own parent; the forest's depth halves each time. ``parents`` is a table of this module and goes."""
     while True:
         up = parents.select(F.col("node").alias("root"), F.col("root").alias("above"))
         jumped = materialize(parents.join(up, "root").select("node", F.col("above").alias("root"), (F.col("above") != F.col("root")).alias("moved")), label + "-jump")
+        discard(parents)
         parents = jumped.select("node", "root")
         if not jumped.where("moved").limit(1).count():
             return parents

@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lamella.llm.common import materialize, table, texts_of
+from lamella.llm.common import discard, materialize, table, texts_of
 from lamella.llm.components import components
 from lamella.llm.words import gram_hashes, mix, word_hashes, word_hashes_of
 
@@ -115,21 +115,21 @@ def signatures(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
 # ---------------------------------------------------------------- chosen paths
 
 
-def chosen_positions(node: int, seed: int) -> list[int]:
-    """One or two token positions that a node branches on, 4/3 on average, by a hash of its path."""
+def chosen_positions(node: int, seed: int, again: bool = False) -> list[int]:
+    """One or two token positions that a node branches on, by a hash of its path: 4/3 on average, 3/2 below the root's children."""
     h = int(mix(np.array([(node ^ seed * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF], dtype=np.uint64))[0])
     first = h % SIZE
-    if (h >> 20) % 3:
+    if (h >> 20) % (2 if again else 3):
         return [first]
     return [first, (first + 1 + (h >> 40) % (SIZE - 1)) % SIZE]
 
 
-def _children(nodes: np.ndarray, tokens: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
+def _children(nodes: np.ndarray, tokens: np.ndarray, seed: int, again: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """(row, child node) for the members of nodes, rows grouped by node."""
     rows, out = [], []
     for node in np.unique(nodes):
         members = np.flatnonzero(nodes == node)
-        for i in chosen_positions(int(node), seed):
+        for i in chosen_positions(int(node), seed, again):
             start = np.uint64((int(node) * 31 + i * 0x51ED27 + 1) & 0xFFFFFFFFFFFFFFFF)
             rows.append(members)
             out.append(mix(mix(np.full(len(members), start)) ^ tokens[members, i].astype(np.uint64)))
@@ -161,23 +161,30 @@ def branch_again(large: DataFrame, classes: DataFrame, level: int) -> DataFrame:
                 continue
             node, sid = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()
             tokens = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint32).reshape(len(sid), SIZE)
-            rows, nodes = _children(node, tokens, level)
+            rows, nodes = _children(node, tokens, level, True)
             yield pa.RecordBatch.from_arrays([pa.array(nodes.view(np.int64)), pa.array(sid[rows])], names=["node", "sid"])
 
     return large.select("node", "sid").join(classes.select("sid", "tokens"), "sid").select("node", "sid", "tokens").mapInArrow(run, "node long, sid long")
 
 
 def counted(rows: DataFrame, label: str) -> DataFrame:
-    """Members of nodes of two and more, with the node's size and least member."""
-    sizes = rows.groupBy("node").agg(F.count("*").alias("n"), F.min("sid").alias("leader")).where("n > 1")
-    return materialize(rows.join(sizes, "node"), label)
+    """Members of nodes of two and more, with the node's size and least member.
+
+    The sizes are written first, so that the join reads two plain shuffles and
+    adaptive execution can split a node with very many members.
+    """
+    sizes = materialize(rows.groupBy("node").agg(F.count("*").alias("n"), F.min("sid").alias("leader")).where("n > 1"), label + "-sizes")
+    out = materialize(rows.join(sizes, "node"), label)
+    discard(sizes)
+    return out
 
 
 def candidate_edges(classes: DataFrame) -> DataFrame:
     """Spanning edges (a, b) of sketch matches within the leaves of all trees."""
-    found, rows = [], branch_roots(classes)
+    found, rows, used = [], branch_roots(classes), []
     for level in range(1, DEPTH + 1):
         nodes = counted(rows, f"paths-{level}")
+        used.append(nodes)
         found.append(leaf_edges(nodes.where(F.col("n") <= LEAF), classes))
         large = nodes.where(F.col("n") > LEAF)
         if not large.limit(1).count():
@@ -189,7 +196,10 @@ def candidate_edges(classes: DataFrame) -> DataFrame:
     out = found[0]
     for more in found[1:]:
         out = out.union(more)
-    return out.distinct()
+    out = materialize(out.distinct(), "candidates")
+    for nodes in used:
+        discard(nodes)
+    return out
 
 
 def leaf_edges(leaves: DataFrame, classes: DataFrame) -> DataFrame:
@@ -311,18 +321,18 @@ def confirmed_links(groups: DataFrame, sets: DataFrame) -> DataFrame:
     large = members.where(F.col("members") > BLOCK)
     if not large.limit(1).count():
         return links
-    for step, pairing in enumerate((pivot_pairing, rest_pairing)):
+    for step, pairing in enumerate((pivot_tasks, rest_tasks)):
         parts = components(links, f"parts-{step}")
         state = large.join(parts, F.col("sid") == F.col("node"), "left").withColumn("linked", F.coalesce("root", "sid")).drop("node", "root")
         state = materialize(state, f"state-{step}")
-        tasks = pairing(state, first)
-        more = materialize(by_group(tasks, ["group", "l", "r"], confirm, PAIRED), f"links-{step + 2}")
+        more = materialize(by_group(pairing(state, first), ["group", "l", "r"], confirm, PAIRED), f"links-{step + 2}")
         links = links.union(more.where("b IS NOT NULL").select("a", "b"))
+        discard(state)
     return links
 
 
-def _task(frame: DataFrame, left, right, side: int) -> DataFrame:
-    return frame.select("group", left.alias("l"), right.alias("r"), F.lit(side).alias("side"), "sid", "linked", "sketch", "shingles")
+def _task(frame: DataFrame, left, right, side: int, *held: str) -> DataFrame:
+    return frame.select("group", left.alias("l"), right.alias("r"), F.lit(side).alias("side"), "sid", "linked", "sketch", *held)
 
 
 def _dealt(members: DataFrame) -> DataFrame:
@@ -335,7 +345,7 @@ def _copied(few: DataFrame) -> DataFrame:
     return few.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
 
 
-def pivot_pairing(state: DataFrame, first: DataFrame) -> DataFrame:
+def pivot_tasks(state: DataFrame, first: DataFrame) -> DataFrame:
     """Each block of a large group against the group's PIVOTS members with most matches."""
     matches = first.where("b IS NULL").select(F.col("a").alias("sid"), "matches")
     best = F.max_by(F.col("sid"), F.struct("matches", "sid"))
@@ -343,19 +353,34 @@ def pivot_pairing(state: DataFrame, first: DataFrame) -> DataFrame:
     pivots = scored.groupBy("group", "slot").agg(best.alias("sid")).select("group", "sid")
     chosen = state.join(pivots, ["group", "sid"], "left_semi")  # PIVOTS rows a group at most
     blocks = state.select("group", F.col("block").alias("at")).distinct()
-    return _task(state, F.col("block"), F.lit(-1), 0).union(_task(chosen.join(blocks, "group"), F.col("at"), F.lit(-1), 1))
+    return _task(state, F.col("block"), F.lit(-1), 0, "shingles").union(_task(chosen.join(blocks, "group"), F.col("at"), F.lit(-1), 1, "shingles"))
+
 
+def rest_tasks(state: DataFrame, first: DataFrame) -> DataFrame:
+    """Members outside their group's largest part, in blocks, against every block of the group.
 
-def rest_pairing(state: DataFrame, first: DataFrame) -> DataFrame:
-    """Members outside their group's largest part, in blocks, against every block of the group."""
+    The blocks are compared on sketches first; full sets are read only for
+    members with a sketch match in the other block that is not linked yet.
+    """
     sizes = state.groupBy("group", "linked").agg(F.count("*").alias("n"))
-    largest = sizes.groupBy("group").agg(F.max_by(F.col("linked"), F.struct("n", "linked")).alias("largest"))
-    dealt = _dealt(state)
+    largest = materialize(sizes.groupBy("group").agg(F.max_by(F.col("linked"), F.struct("n", "linked")).alias("largest")), "largest")
+    dealt = _dealt(state.drop("shingles"))
     rest = dealt.join(_copied(largest), ["group", "part"]).where("linked <> largest").drop("largest")
     blocks = state.select("group", F.col("block").alias("at")).distinct()
     asked = rest.select("group", F.col("block").alias("from")).distinct()
     left, right = rest.join(_copied(blocks), ["group", "part"]), dealt.join(_copied(asked), ["group", "part"])
-    return _task(left, F.col("block"), F.col("at"), 0).union(_task(right, F.col("from"), F.col("block"), 1))
+    sketches = _task(left, F.col("block"), F.col("at"), 0).union(_task(right, F.col("from"), F.col("block"), 1))
+    alike = materialize(by_group(sketches, ["group", "l", "r"], alike_members, "group long, l int, r int, side int, sid long"), "alike")
+    return alike.join(state.select("sid", "linked", "sketch", "shingles"), "sid").select("group", "l", "r", "side", "sid", "linked", "sketch", "shingles")
+
+
+def alike_members(rows: list[tuple]) -> list[tuple]:
+    """Of two blocks (group, left block, right block, side, sid, part, sketch) the members with a sketch match across that is of another part."""
+    side, part = np.array([r[3] for r in rows]), np.array([r[5] for r in rows])
+    sketch = np.frombuffer(b"".join(r[6] for r in rows), np.uint8).reshape(len(rows), SIZE)
+    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    match = (similar(sketch[left], sketch[right]) >= SKETCH_CUT) & (part[left][:, None] != part[right][None, :])
+    return [rows[i][:5] for i in [*left[match.any(axis=1)].tolist(), *right[match.any(axis=0)].tolist()]]
 
 
 def full_sets(documents: DataFrame, chosen: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -385,14 +410,14 @@ def near_duplicate_groups(documents: DataFrame, id_col: str = "doc_id", text_col
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x.tobytes() for x in low], pa.binary())], names=["sid", "uid", "tokens", "sketch"])
 
     classes = materialize(grouped.mapInArrow(lows, "sid long, uid long, tokens binary, sketch binary"), "classes")
-    edges = materialize(candidate_edges(classes), "candidates")
+    edges = candidate_edges(classes)
     groups = components(edges, "groups").select(F.col("node").alias("sid"), F.col("root").alias("group"))
     groups = materialize(groups, "groups")
     chosen = classes.select("sid", "uid", "sketch").join(groups.select("sid"), "sid")
     links = confirmed_links(groups, full_sets(documents, chosen, id_col, text_col))
     parts = components(links, "links").select(F.col("node").alias("sid"), F.col("root").alias("root"))
-    placed = full.select("doc_id", "uid", "n_shingles", "sid").join(parts, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    least = placed.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    placed = materialize(full.select("doc_id", "uid", "n_shingles", "sid").join(parts, "sid", "left").withColumn("root", F.coalesce("root", "sid")), "placed")
+    least = materialize(placed.groupBy("root").agg(F.min("doc_id").alias("component_id")), "least")
     out = placed.join(least, "root").select("doc_id", "n_shingles", "component_id", "uid")
     alone = rows.where("sid IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "uid")
     return out.union(alone).select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"), "uid")
