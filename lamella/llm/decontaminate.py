@@ -5,7 +5,10 @@ ASCII control, punctuation nor space. An item is cut into windows of
 ``n`` consecutive words; an item with fewer words, but at least one, is one
 window. The windows of a block of items are broadcast as a hash set, every
 document is scanned once per block, each hash hit is verified word by word,
-and the words inside verified windows are marked.
+and the words inside verified windows are marked. The set is a sorted array of
+hashes with the place of each window, next to the item texts as word ids and
+the words behind the ids. One block at a time is on the driver and in the
+workers; with several, the hits of a block are written before the next one.
 
 Defined results: a null text has no words and is never contaminated; an item
 with null text has no windows; repeated items or documents are each reported;
@@ -15,19 +18,19 @@ through; columns named like a result are replaced.
 
 from __future__ import annotations
 
-import hashlib
 import re
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lamella.llm.common import add_columns, texts_of
+from lamella.llm.common import add_columns, materialize, table, texts_of
 
 WINDOW = 10
-#: Bytes of item text in one broadcast block. More items are scanned in further blocks.
-BLOCK_BYTES = 64 << 20
+#: Bytes of item text in one broadcast block, about a tenth of the memory its set takes. More items are scanned in further blocks.
+BLOCK_BYTES = 8 << 20
 
 #: ASCII bytes to lower case, those outside words to a space.
 FOLD = bytes(
@@ -42,23 +45,31 @@ def words_of(text: bytes) -> list[bytes]:
 
 
 class WindowSet:
-    """Windows of a block of items: word ids, and by length a hash set with the items behind each window."""
+    """Windows of a block of items. By window size: sorted hashes, and the item and place of each window."""
 
     def __init__(self, items: list[tuple[str, bytes]], n: int):
         self.vocab: dict[bytes, int] = {}
         self.names = [name for name, _ in items]
-        self.windows: dict[int, dict[bytes, list[int]]] = {}
-        for at, (_, text) in enumerate(items):
-            ids = np.array([self.vocab.setdefault(w, len(self.vocab) + 1) for w in words_of(text)], dtype=np.uint32)
-            size = min(n, len(ids))
-            for i in range(len(ids) - size + 1 if size else 0):
-                owners = self.windows.setdefault(size, {}).setdefault(ids[i : i + size].tobytes(), [])
-                if not owners or owners[-1] != at:
-                    owners.append(at)
-        self.hashes = {
-            size: np.unique(_rolling(np.frombuffer(b"".join(found), dtype=np.uint32).reshape(len(found), size).ravel(), size)[::size])
-            for size, found in self.windows.items()
-        }
+        ids = [np.array([self.vocab.setdefault(w, len(self.vocab) + 1) for w in words_of(text)], dtype=np.uint32) for _, text in items]
+        self.start = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int64)
+        self.ids = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
+        self.windows: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        by_size: dict[int, list[int]] = {}
+        for at, x in enumerate(ids):
+            if len(x):
+                by_size.setdefault(min(n, len(x)), []).append(at)
+        for size, members in by_size.items():
+            hashes = [_rolling(ids[at], size) for at in members]
+            owner = np.repeat(np.array(members, np.int32), [len(h) for h in hashes])
+            place = np.concatenate([self.start[at] + np.arange(len(h)) for at, h in zip(members, hashes)])
+            flat = np.concatenate(hashes)
+            order = np.argsort(flat, kind="stable")
+            self.windows[size] = flat[order], owner[order], place[order]
+
+    def nbytes(self) -> int:
+        """Bytes of the arrays, and of the words with 120 for each entry of the dict."""
+        arrays = sum(x.nbytes for parts in self.windows.values() for x in parts) + self.ids.nbytes + self.start.nbytes
+        return arrays + sum(len(w) + 120 for w in self.vocab)
 
     def scan(self, words: list[bytes]) -> tuple[np.ndarray | None, set[int]]:
         """Mask of hit words (None: no hit) and the items found."""
@@ -68,17 +79,18 @@ class WindowSet:
         mask, owners = None, set()
         runs = np.diff(gaps, prepend=-1, append=len(ids)) - 1
         longest = int(runs.max()) if len(runs) else len(ids)
-        for size, known in self.hashes.items():
+        for size, (hashes, owner, place) in self.windows.items():
             if longest < size:
                 continue
             rolled = _rolling(ids, size)
-            near = np.searchsorted(known, rolled)
-            near[near == len(known)] = 0
-            for i in np.flatnonzero(known[near] == rolled):
-                if (who := self.windows[size].get(ids[i : i + size].tobytes())) is not None:
-                    mask = np.zeros(len(ids), dtype=bool) if mask is None else mask
-                    mask[i : i + size] = True
-                    owners.update(who)
+            low, high = np.searchsorted(hashes, rolled, side="left"), np.searchsorted(hashes, rolled, side="right")
+            for i in np.flatnonzero(high > low).tolist():
+                window = ids[i : i + size]
+                for j in range(low[i], high[i]):
+                    if (self.ids[place[j] : place[j] + size] == window).all():
+                        mask = np.zeros(len(ids), dtype=bool) if mask is None else mask
+                        mask[i : i + size] = True
+                        owners.add(int(owner[j]))
         return mask, owners
 
 
@@ -95,18 +107,16 @@ def _rolling(ids: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
-def item_blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> list[list[tuple[str, bytes]]]:
-    """The items in blocks whose text is bounded: the size is measured first."""
+def item_blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple[str, bytes]]]:
+    """The items in blocks whose text is bounded: the size is measured first, and one block at a time collected."""
     items = benchmark.select(
         F.coalesce(F.col(item_col).cast("string"), F.lit("null")).alias("item"), F.col(text_col).cast("string").alias("text")
     ).where(F.col("text").isNotNull())
     total = items.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
     count = int(total // block_bytes) + 1
     numbered = items.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(count)))
-    return [
-        [(r["item"], r["text"].encode()) for r in (numbered.where(F.col("block") == b) if count > 1 else items).collect()]
-        for b in range(count)
-    ]
+    for b in range(count):
+        yield [(r["item"], r["text"].encode()) for r in (numbered.where(F.col("block") == b) if count > 1 else items).collect()]
 
 
 SCAN = T.StructType(
@@ -133,10 +143,12 @@ def find_hits(
     No shuffle: one scan of the documents a block, whose hits are united row
     by row. The broadcast is bounded by ``block_bytes`` of item text.
     """
-    blocks = item_blocks(benchmark, item_col, item_text_col, block_bytes)
     sc = documents.sparkSession.sparkContext
-    out = documents
-    for k, items in enumerate(blocks):
+    out, shared = documents, None
+    for k, items in enumerate(item_blocks(benchmark, item_col, item_text_col, block_bytes)):
+        if shared is not None:
+            out = materialize(out, "hits")
+            shared.unpersist()
         shared = sc.broadcast(WindowSet(items, n))
 
         def make(shared=shared, later=bool(k)):
@@ -221,30 +233,4 @@ def cut(text: str | None, spans: str) -> str | None:
 
 
 def op9_decontaminate(spark, sf_dir: str) -> DataFrame:
-    from lamella.llm.common import table
-
     return contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-
-
-def brute_force(documents: list[tuple], items: list[tuple], n: int = WINDOW) -> list[tuple]:
-    """The contract by plain loops, for tests on small tables."""
-
-    def words(text):
-        return re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
-
-    windows: dict[tuple, set[str]] = {}
-    for item, text in items:
-        w = words(text)
-        for i in range(max(len(w) - n, 0) + 1 if w else 0):
-            windows.setdefault(tuple(w[i : i + n]), set()).add(str(item))
-    out = []
-    for doc, text in documents:
-        w, hit, found = words(text), set(), set()
-        for size in {len(x) for x in windows}:
-            for i in range(len(w) - size + 1):
-                if (own := windows.get(tuple(w[i : i + size]))) is not None:
-                    hit.update(range(i, i + size))
-                    found |= own
-        digest = hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()
-        out.append((doc, len(w), len(hit), len(found), digest, bool(hit)))
-    return out

@@ -1,7 +1,34 @@
+import hashlib
+import re
+
 from lamella.llm import decontaminate as d
 from lamella.llm.common import table
 
 
+def brute_force(documents: list[tuple], items: list[tuple], n: int = d.WINDOW) -> list[tuple]:
+    """The contract by plain loops, for tests on small tables."""
+
+    def words(text):
+        return re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+
+    windows: dict[tuple, set[str]] = {}
+    for item, text in items:
+        w = words(text)
+        for i in range(max(len(w) - n, 0) + 1 if w else 0):
+            windows.setdefault(tuple(w[i : i + n]), set()).add(str(item))
+    out = []
+    for doc, text in documents:
+        w, hit, found = words(text), set(), set()
+        for size in {len(x) for x in windows}:
+            for i in range(len(w) - size + 1):
+                if (own := windows.get(tuple(w[i : i + size]))) is not None:
+                    hit.update(range(i, i + size))
+                    found |= own
+        digest = hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()
+        out.append((doc, len(w), len(hit), len(found), digest, bool(hit)))
+    return out
+
+
 def rows(df):
     return sorted((tuple(r) for r in df.collect()), key=str)
 
@@ -30,12 +57,27 @@ def test_small(spark):
     docs = spark.createDataFrame(DOCS, "doc_id long, text string")
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     for block in (d.BLOCK_BYTES, 40):
-        assert rows(d.contamination_report(docs, items, block_bytes=block)) == sorted(d.brute_force(DOCS, [i for i in ITEMS if i[1]]), key=str)
+        assert rows(d.contamination_report(docs, items, block_bytes=block)) == sorted(brute_force(DOCS, [i for i in ITEMS if i[1]]), key=str)
+
+
+def test_window_set_is_compact():
+    """The set takes a bounded multiple of the item text, also where no word repeats."""
+    items = [(str(i), b" ".join(b"w%d" % (100 * i + j) for j in range(100))) for i in range(2000)]
+    text = sum(len(t) for _, t in items)
+    assert d.WindowSet(items, 10).nbytes() < 30 * text
+    common = [(str(i), b" ".join(b"w%d" % (j * 7919 % 1000) for j in range(i, i + 100))) for i in range(2000)]
+    assert d.WindowSet(common, 10).nbytes() < 12 * sum(len(t) for _, t in common)
+
+
+def test_blocks_come_one_at_a_time(spark):
+    items = spark.createDataFrame([(i, f"item {i} " * 10) for i in range(50)], "item_id long, text string")
+    blocks = d.item_blocks(items, "item_id", "text", 500)
+    assert iter(blocks) is blocks and sorted(n for b in blocks for n, _ in b) == sorted(str(i) for i in range(50))
 
 
 def test_table(spark, sf):
     docs, items = table(spark, sf, "documents"), table(spark, sf, "benchmark")
-    want = d.brute_force([(r.doc_id, r.text) for r in docs.collect()], [(r.item_id, r.text) for r in items.collect()])
+    want = brute_force([(r.doc_id, r.text) for r in docs.collect()], [(r.item_id, r.text) for r in items.collect()])
     assert any(x[5] for x in want)
     assert rows(d.op9_decontaminate(spark, sf)) == sorted(want, key=str)
 

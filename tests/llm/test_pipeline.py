@@ -1,10 +1,10 @@
 import duckdb
 
 import corpus_pipeline as cp
-from lamella.llm import decontaminate as d
 from lamella.llm import language_id as li
 from lamella.llm import line_dedup as ld
 from lamella.llm.common import materialize, table
+from tests.llm.test_decontaminate import brute_force
 from tests.llm.test_near_dedup import brute
 from tests.llm.test_tokens import check_pattern_packing
 
@@ -33,7 +33,7 @@ def test_stages_against_brute_force(spark, sf):
             assert {r.doc_id for r in after} == {x for x, (_, c) in groups.items() if x == c}
         elif name == "benchmark_decontamination":
             items = [(r.item_id, r.text) for r in table(spark, sf, "benchmark").collect()]
-            clean = {x[0] for x in d.brute_force([(r.doc_id, r.text) for r in before], items) if not x[5]}
+            clean = {x[0] for x in brute_force([(r.doc_id, r.text) for r in before], items) if not x[5]}
             assert {r.doc_id for r in after} == clean and len(clean) < len(before)
         else:
             check_pattern_packing(after, [(r.doc_id, r.text) for r in before])
