@@ -8,27 +8,35 @@ descent in numpy on a bounded sample of labelled rows. As the model is linear
 behind the mean, embedding and output layer fold into one row of class logits
 for each bucket for prediction, which reads whole texts.
 
-Calibration: a tenth of the sample is held back from training. A temperature
-is fitted on it by likelihood, and the rejection limit is the score that all
-but ``reject_share`` of its correctly labelled rows exceed, at most 0.5.
-
 Sample bound: ``per_class`` labelled rows of each class, chosen by a hash of
-the id; of a text longer than 8 * ``SNIPPET`` characters a part of that length
-from anywhere in it. Training reads snippets of at most ``SNIPPET`` bytes. All
-other steps read all rows and whole texts.
-
-Defined results: text that is null or has no letter is ``und`` with score 0
-and rejected; with no labelled row everything is ``und``; rows with null lang
-or null doc_id are predicted but not learned from; repeated rows give the same
-result. Extra columns pass through; columns named like a result are replaced.
+the id. Each chosen text gives its whole bag of buckets and those of two
+snippets of at most ``SNIPPET`` bytes, its beginning and one from anywhere, so
+that short texts are learned too. Bags are made on the executors; a bag has at
+most ``BUCKETS`` entries of four bytes. All other steps read all rows and
+whole texts.
+
+Calibration: a tenth of the sample is held back from training. A temperature
+is fitted on it by likelihood. A text is rejected if its score is lower than
+that of all but ``reject_share`` of the correctly labelled bags held back (but
+never if it is over the cap between chance and certainty, ``CAP``), or if it has
+``FEW`` subwords or more and the share of them met in training lies further
+below the median than three times the distance of all but ``reject_share``,
+and by ``SLACK`` at least: random letters and languages that were not learned.
+
+Defined results: text that is null or has no letter (Unicode category L) is
+``und`` with score 0 and rejected; with no labelled row everything is ``und``;
+rows with null lang or null doc_id are predicted but not learned from;
+repeated rows give the same result. Extra columns pass through; columns named
+like a result are replaced.
 """
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,11 +47,16 @@ BUCKETS = 1 << 16
 ORDERS = (3, 4)
 DIM = 16
 SNIPPET = 400
-PER_CLASS = 1500
+PER_CLASS = 1000
+#: A score over 1/k + CAP (1 - 1/k) with k languages is not rejected.
+CAP = 1 / 3
+FEW = 20
+#: Least distance of the limit of known subwords from the median.
+SLACK = 0.2
 UNKNOWN = "und"
 
 _SPACED = bytes(b if b >= 0x80 or 0x61 <= b <= 0x7A else 0x20 for b in range(256))
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 
 
 def subwords(text: bytes) -> np.ndarray:
@@ -72,24 +85,49 @@ def subwords(text: bytes) -> np.ndarray:
 @dataclass
 class Model:
     classes: list[str]
-    logits: np.ndarray  # (BUCKETS, classes), embedding times output layer
+    logits: np.ndarray  # (BUCKETS, classes + 1): embedding times output layer, and whether the bucket was met in training
     bias: np.ndarray
     temperature: float = 1.0
     reject_below: float = 0.0
+    known_below: float = 0.0
 
-    def raw(self, text: bytes) -> np.ndarray:
-        rows = subwords(text)
+    def raw(self, rows: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.ndarray, float]:
+        """Class scores of a bag of buckets, and the share of known ones."""
         if not len(rows):
-            return self.bias.copy()
-        return np.take(self.logits, rows, axis=0).sum(axis=0, dtype=np.float64) / len(rows) + self.bias
+            return self.bias.copy(), 1.0
+        found = np.take(self.logits, rows, axis=0)
+        mean = found.sum(axis=0, dtype=np.float64) / len(rows) if weights is None else weights.astype(np.float64) @ found
+        return mean[:-1] + self.bias, float(mean[-1])
 
     def predict(self, text: bytes | None) -> tuple[str, float, bool]:
         """Language, calibrated probability of it, and whether it is rejected."""
         if not text or not self.classes or not _LETTER.search(text.decode("utf-8", "replace")):
             return UNKNOWN, 0.0, True
-        p = softmax(self.raw(text) / self.temperature)
+        rows = subwords(text)
+        z, known = self.raw(rows)
+        p = softmax(z / self.temperature)
         best = int(np.argmax(p))
-        return self.classes[best], float(p[best]), bool(p[best] < self.reject_below)
+        return self.classes[best], float(p[best]), bool(p[best] < self.reject_below or len(rows) >= FEW and known < self.known_below)
+
+
+Bag = tuple[np.ndarray, np.ndarray]
+
+
+def bag(rows: np.ndarray) -> Bag:
+    """Distinct buckets and their shares."""
+    found, n = np.unique(rows, return_counts=True)
+    return found.astype(np.uint16), (n / max(1, len(rows))).astype(np.float16)
+
+
+def bags_of(text: str, seed: int) -> list[Bag]:
+    """The whole text's bag, and those of a snippet at its beginning and of one from anywhere; without empty ones."""
+    raw = text.encode()
+    rng = np.random.default_rng(seed & 0xFFFFFFFF)
+    size = int(rng.integers(40, SNIPPET))
+    start = int(rng.integers(0, max(1, len(raw) - size)))
+    parts = [raw] if len(raw) <= size else [raw, raw[:size], raw[start : start + size]]
+    found = [subwords(p.decode("utf-8", "ignore").encode()) for p in parts]
+    return [bag(rows) for rows in found if len(rows)]
 
 
 def softmax(z: np.ndarray) -> np.ndarray:
@@ -97,62 +135,66 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
-def train(rows: list[tuple[str, str]], seed: int = 7, epochs: int = 4, rate: float = 0.5, reject_share: float = 0.001) -> Model:
-    """rows: (text, lang). One gradient step a snippet batch; rate falls linearly."""
+def train(rows: list[tuple[list[Bag], str]], seed: int = 7, epochs: int = 4, rate: float = 0.5, reject_share: float = 0.001) -> Model:
+    """rows: (bags of a text, lang). One gradient step a batch of bags; the rate falls linearly."""
     classes = sorted({lang for _, lang in rows})
     if not classes:
-        return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0))
+        return Model([], np.zeros((BUCKETS, 1), np.float32), np.zeros(0))
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(rows))
     held = max(1, len(rows) // 10)
     validation, learned = [rows[i] for i in order[:held]], [rows[i] for i in order[held:]] or [rows[i] for i in order]
     of = {c: i for i, c in enumerate(classes)}
-    grams, labels = [], []
-    for text, lang in learned:
-        raw = text.encode()
-        size = int(rng.integers(40, SNIPPET))
-        start = int(rng.integers(0, max(1, len(raw) - size)))
-        for part in (raw[:size], raw[start : start + size]):
-            rowsof = subwords(part.decode("utf-8", "ignore").encode())
-            if len(rowsof):
-                grams.append(rowsof)
-                labels.append(of[lang])
+    bags, labels = [b for bs, _ in learned for b in bs], [of[lang] for bs, lang in learned for _ in bs]
     embed = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM)).astype(np.float32)
     out = np.zeros((DIM, len(classes)), dtype=np.float32)
     bias = np.zeros(len(classes), dtype=np.float32)
     batch, steps = 16, 0
-    total = max(1, epochs * -(-len(grams) // batch))
+    total = max(1, epochs * -(-len(bags) // batch))
     for _ in range(epochs):
-        mix = rng.permutation(len(grams))
+        mix = rng.permutation(len(bags))
         for low in range(0, len(mix), batch):
-            take = mix[low : low + batch]
-            flat = np.concatenate([grams[i] for i in take])
-            counts = np.array([len(grams[i]) for i in take])
-            owner = np.repeat(np.arange(len(take)), counts)
+            taken = mix[low : low + batch]
+            flat = np.concatenate([bags[i][0] for i in taken])
+            weight = np.concatenate([bags[i][1] for i in taken]).astype(np.float32)
+            counts = np.array([len(bags[i][0]) for i in taken])
+            owner = np.repeat(np.arange(len(taken)), counts)
             starts = np.concatenate([[0], np.cumsum(counts)[:-1]])
-            mean = np.add.reduceat(embed[flat], starts, axis=0) / counts[:, None]
-            y = np.zeros((len(take), len(classes)), dtype=np.float32)
-            y[np.arange(len(take)), [labels[i] for i in take]] = 1
+            mean = np.add.reduceat(embed[flat] * weight[:, None], starts, axis=0)
+            y = np.zeros((len(taken), len(classes)), dtype=np.float32)
+            y[np.arange(len(taken)), [labels[i] for i in taken]] = 1
             grad = softmax(mean @ out + bias) - y
             step = rate * (1 - steps / total)
-            back = (grad @ out.T) / counts[:, None]
-            out -= step * mean.T @ grad / len(take) * 4
+            back = grad @ out.T
+            out -= step * mean.T @ grad / len(taken) * 4
             bias -= step * 0.1 * grad.mean(axis=0)
-            np.add.at(embed, flat, (-step * 40 * back[owner]).astype(np.float32) / len(take))
+            np.add.at(embed, flat, (-step * 40 / len(taken)) * back[owner] * weight[:, None])
             steps += 1
-    model = Model(classes, (embed @ out).astype(np.float32), bias.astype(np.float64))
+    seen = np.zeros((BUCKETS, 1), np.float32)
+    for rows_of, _ in bags:
+        seen[rows_of] = 1
+    model = Model(classes, np.hstack([embed @ out, seen]).astype(np.float32), bias.astype(np.float64))
     return calibrate(model, validation, reject_share)
 
 
-def calibrate(model: Model, rows: list[tuple[str, str]], reject_share: float) -> Model:
-    scores = np.array([model.raw(t.encode()) for t, _ in rows])
-    labels = np.array([model.classes.index(lang) for _, lang in rows])
+def calibrate(model: Model, rows: list[tuple[list[Bag], str]], reject_share: float) -> Model:
+    bags, labels = [b for bs, _ in rows for b in bs], np.array([model.classes.index(lang) for bs, lang in rows for _ in bs])
+    if not bags:
+        return model
+    found = [model.raw(*b) for b in bags]
+    scores, known = np.array([z for z, _ in found]), np.array([k for _, k in found])
     grid = np.geomspace(0.02, 20, 60)
     likelihood = [np.log(softmax(scores / t)[np.arange(len(labels)), labels] + 1e-12).sum() for t in grid]
     model.temperature = float(grid[int(np.argmax(likelihood))])
     p = softmax(scores / model.temperature)
-    right = p.max(axis=1)[p.argmax(axis=1) == labels]
-    model.reject_below = float(min(0.5, np.quantile(right, reject_share))) if len(right) else 0.0
+    right = p.argmax(axis=1) == labels
+    k = len(model.classes)
+    if right.any():
+        model.reject_below = float(min(1 / k + CAP * (1 - 1 / k), np.quantile(p.max(axis=1)[right], reject_share)))
+    many = np.array([len(b[0]) >= FEW for b in bags])
+    if (right & many).any():
+        median, low = np.quantile(known[right & many], [0.5, reject_share])
+        model.known_below = float(median - max(SLACK, 3 * (median - low)))
     return model
 
 
@@ -161,8 +203,8 @@ def held_out(doc_id) -> F.Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(3)) == 1
 
 
-def sample(documents: DataFrame, id_col: str, text_col: str, lang_col: str, per_class: int) -> list[tuple[str, str]]:
-    """At most ``per_class`` labelled rows of each class outside the held-out part, the same ones for the same table."""
+def sample(documents: DataFrame, id_col: str, text_col: str, lang_col: str, per_class: int) -> list[tuple[list[Bag], str]]:
+    """Bags of at most ``per_class`` labelled rows of each class outside the held-out part, the same ones for the same table."""
     rows = documents.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("id").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("id")))
     draw = F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(1 << 30))
@@ -172,14 +214,20 @@ def sample(documents: DataFrame, id_col: str, text_col: str, lang_col: str, per_
     limit = F.lit(0)
     for lang, n in counts.items():
         limit = F.when(F.col("lang") == lang, F.lit(min(1 << 30, int(1.2 * per_class / n * (1 << 30)) + 1))).otherwise(limit)
-    # Of a long text a part of 8 * SNIPPET characters comes, from a place that its hash names.
-    start = F.pmod(F.xxhash64("text"), F.greatest(F.lit(1), F.length("text") - 8 * SNIPPET)) + 1
-    part = F.substr(F.col("text"), start.cast("int"), F.lit(8 * SNIPPET))
-    chosen = rows.where(draw < limit).select("id", "lang", part.alias("text"), draw.alias("draw"))
+    chosen = rows.where(draw < limit).select("lang", draw.alias("draw"), F.col("id").cast("string").alias("id"), "text")
+
+    def make(batches):
+        for batch in batches:
+            found = [bags_of(text, draw) for draw, text in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist())]
+            bags = [[{"rows": r.tobytes(), "share": w.tobytes()} for r, w in bs] for bs in found]
+            kind = pa.list_(pa.struct([("rows", pa.binary()), ("share", pa.binary())]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(bags, kind)], names=["lang", "draw", "id", "bags"])
+
     by_class: dict[str, list[tuple]] = {}
-    for r in chosen.collect():
-        by_class.setdefault(r["lang"], []).append((r["draw"], str(r["id"]), r["text"]))
-    return [(text, lang) for lang in sorted(by_class) for _, _, text in sorted(by_class[lang])[:per_class]]
+    for r in chosen.mapInArrow(make, "lang string, draw long, id string, bags array<struct<rows: binary, share: binary>>").collect():
+        bags = [(np.frombuffer(b["rows"], np.uint16), np.frombuffer(b["share"], np.float16)) for b in r["bags"]]
+        by_class.setdefault(r["lang"], []).append((r["draw"], r["id"], bags))
+    return [(bags, lang) for lang in sorted(by_class) for _, _, bags in sorted(by_class[lang], key=lambda x: x[:2])[:per_class]]
 
 
 RESULT = T.StructType(

@@ -28,3 +28,33 @@ def test_edges(spark):
     assert li.keep_identified(docs, li.fit(docs)).columns == docs.columns
     empty = li.fit(docs.limit(0))
     assert all(r.lang_pred == "und" for r in li.predict(docs, empty).collect()) and li.predict(docs.limit(0), empty).count() == 0
+
+
+def test_letters_are_unicode_letters(spark):
+    rows = [(i, "der die das und ist nicht ein wort " * 3, "de") for i in range(30)]
+    docs = spark.createDataFrame([*rows, (50, "\u00b2 \u00bd \u2460 \u2167", None), (51, "\u00aa", None), (52, "\u4e2d", None)], "doc_id long, text string, lang string")
+    by = {r.doc_id: r.lang_pred for r in li.predict(docs, li.fit(docs)).collect()}
+    assert by[50] == "und" and by[51] == by[52] == "de"
+
+
+def test_rejects_what_was_not_learned(spark):
+    """Random letters and another script's language go, whatever the number of classes; clean rows stay."""
+    import random
+
+    rng = random.Random(4)
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    odd = ["".join(rng.choice("qxzjkvwy") + rng.choice("bcdfghjkqxz ") for _ in range(150)) for _ in range(30)]
+    odd += [" ".join("\u043f\u0440\u0438\u0432\u0435\u0442 \u043c\u0438\u0440 \u043a\u043d\u0438\u0433\u0430".split()[rng.randrange(3)] for _ in range(40)) for _ in range(30)]
+    for langs in (["en"], ["de", "fr"], None):
+        learned = docs if langs is None else docs.where(docs.lang.isin(*langs))
+        model = li.fit(learned)
+        assert sum(model.predict(t.encode())[2] for t in odd) >= 0.95 * len(odd), (langs, model.known_below)
+        kept = li.keep_identified(learned, model).count()
+        assert kept >= 0.99 * learned.count()
+
+
+def test_whole_texts_are_learned():
+    """A long text's bag covers all of it."""
+    text = "aaa " * 2000 + "zzz"
+    whole = li.bags_of(text, 3)[0][0]
+    assert set(li.subwords(b"zzz").tolist()) <= set(whole.tolist())
