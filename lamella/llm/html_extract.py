@@ -1,17 +1,23 @@
 """Main text of web pages by tree scoring.
 
 A page is cut into tags and text by one pattern and built into a flat tree.
-Subtrees that can't be article text (scripts, forms, menus, footers, sidebars,
-elements named as notice, advert or comment, ...) are pruned. Every paragraph
-gives points, one plus its commas plus one for each hundred characters up to
-three, to its parent, half of them to the grandparent and less above; a
-container's score is its points times one minus its link density. The best
-container, widened to the article or main element around it, and those of its
-siblings that score or read like it, are kept.
+Elements that can't be article text by their kind (scripts, forms, menus,
+footers, sidebars, ...), role or visibility are pruned, and so are containers
+whose class or id is a name of such parts and of nothing else ("comments",
+"ad-slot", but not "related-work"); inside an article or main element that
+holds for div, section, lists and tables only, never for paragraphs. Every
+paragraph gives points, one plus its commas plus one for each hundred
+characters up to three, to its parent, and half of what each ancestor gets to
+the next above; a container's score is its points times one minus its link
+density. The best container, widened to the article or main element around it,
+and those of its siblings that score or read like it, are kept.
 
 The text of the kept nodes is put out in page order: character references
 decoded, white space within a block turned into one space, blocks joined by
-one space. Nothing else is dropped or cut.
+one space. Outside an article or main element, lists, tables, sections and
+divs with over ``LINKED`` of their text in links are menus and are dropped;
+nothing else is dropped or cut. Time is linear in the page, however deep its
+elements are nested.
 
 Defined results: null or empty html, or a page without article text, gives the
 empty string and 0; a page that breaks off, unclosed tags and stray end tags
@@ -23,6 +29,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from functools import lru_cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -38,9 +45,10 @@ _TOKEN = re.compile(
 _NAMES = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 _COMMA = re.compile("[,،、，]")
+_UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe title textarea xmp svg math object canvas audio video noembed noframes".split())
+RAW = frozenset("script style noscript template iframe title textarea xmp svg object canvas audio video noembed noframes".split())
 BLOCK = frozenset(
     "address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "head header hgroup hr html li main menu nav ol option p pre section select summary table tbody td tfoot th thead title tr ul".split()
@@ -57,22 +65,42 @@ ENDS = {
     "option": (("option",), ("select", "datalist")),
     "body": (("head",), ("html",)),
 }
-PRUNED = frozenset("head nav footer aside form button select input label fieldset dialog menu".split()) | RAW
+PRUNED = frozenset("head nav footer aside form button select input fieldset dialog menu".split()) | RAW
 PRUNED_ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar form status".split())
 #: Names, as words of class or id, of what is no article text.
 REFUSED = frozenset(
-    "comment comments commentlist disqus respond replies reply discussion ad ads adv advert adverts advertisement advertisements advertising adsense "
+    "comment comments commentlist disqus respond replies reply ad ads adv advert adverts advertisement advertisements advertising adsense "
     "adslot sponsor sponsored sponsors promo promos promotion banner sidebar navbar nav navigation menu menus breadcrumb breadcrumbs masthead footer cookie "
     "cookies consent gdpr notice notices notification popup modal overlay newsletter subscribe subscription signup share sharing social related "
     "recommended recommendations widget widgets toolbar pagination pager skip login signin paywall disclaimer copyright hidden".split()
 )
-#: Elements and names that are not pruned by a name among REFUSED.
+#: Words that may stand beside them; with any other word the name is not one of such parts.
+BESIDE = frozenset(
+    "area bar block bottom box button buttons center class col column container content default desktop element fixed float form global group holder icons "
+    "inner item items js large layer left link links list main mobile module outer page panel post posts primary reader readers right row secondary section "
+    "site slot small sticky text this title top unit user users wide wrap wrapper zone".split()
+)
+#: Elements that are not pruned by name, and those that are inside an article.
 WHOLE = frozenset("html body article main".split())
+CONTAINERS = frozenset("div section ul ol dl table details".split())
+LINKED = 0.66
 PARAGRAPH = frozenset("p pre blockquote td li dd".split())
 HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 LISTS = frozenset("ul ol table div section dl".split())
 
 
+def _names_no_text(token: str, header: bool) -> bool:
+    """Whether a class or id is the name of a part that is no article text, and of nothing else."""
+    words = {w.lower() for w in _WORD.findall(token) if not w.isdigit()}
+    refused = {w for w in words if w in REFUSED or header and w == "header"}
+    return bool(refused) and words - refused <= BESIDE
+
+
+@lru_cache(maxsize=64)
+def _raw_end(name: str) -> re.Pattern:
+    return re.compile(rf"</{re.escape(name)}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I)
+
+
 def main_text(html: str | None) -> str:
     """The article text of a page."""
     if not html:
@@ -85,91 +113,101 @@ class Page:
     """A flat tree in page order: a node's parent has a smaller index."""
 
     def __init__(self, html: str):
-        self.tag, self.parent, self.pruned = ["#root"], [0], [False]
+        self.tag, self.parent, self.pruned, self.inside = ["#root"], [0], [False], [False]
         self.pieces: list[tuple[int, str]] = []
-        stack, at, size = [0], 0, len(html)
+        self.stack = [0]
+        #: Places in the stack of the open elements of each tag, and of open blocks.
+        self.where: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+        at, size = 0, len(html)
         while at < size:
             m = _TOKEN.search(html, at)
             if m is None:
-                self._text(stack[-1], html[at:])
+                self._text(html[at:])
                 break
             if m.start() > at:
-                self._text(stack[-1], html[at : m.start()])
+                self._text(html[at : m.start()])
             at = m.end()
             name = m.group(2) or m.group(5)
             if name is None:
                 continue
             name = name.lower()
             if m.group(1) or m.group(4):
-                self._close(stack, name)
+                self._close(name)
                 continue
             attributes = m.group(3) if m.group(2) else m.group(6)
-            self._open(stack, name, attributes or "")
+            self._open(name, attributes or "")
             if name in RAW and not (attributes or "").endswith("/"):
-                end = re.compile(rf"</{re.escape(name)}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(html, at)
+                end = _raw_end(name).search(html, at)
                 at = end.end() if end else size
-                stack.pop()
+                self._cut(len(self.stack) - 1)
             elif name in VOID:
-                stack.pop()
+                self._cut(len(self.stack) - 1)
+
+    def _text(self, raw: str) -> None:
+        self.pieces.append((self.stack[-1], entities.unescape(raw) if "&" in raw else raw))
+
+    def _nearest(self, names: tuple[str, ...]) -> int:
+        """Place in the stack of the innermost open element of these tags, or 0."""
+        return max((self.where[n][-1] for n in names if self.where.get(n)), default=0)
 
-    def _text(self, node: int, raw: str) -> None:
-        self.pieces.append((node, entities.unescape(raw) if "&" in raw else raw))
+    def _cut(self, place: int) -> None:
+        """Closes the element at a place of the stack and all in it."""
+        while len(self.stack) > place:
+            name = self.tag[self.stack.pop()]
+            self.where[name].pop()
+            if name in BLOCK:
+                self.blocks.pop()
 
-    def _open(self, stack: list[int], name: str, attributes: str) -> None:
+    def _open(self, name: str, attributes: str) -> None:
         if name in CLOSES_P:
-            self._end(stack, ("p",), ("table", "td", "button", "article", "section", "div", "body"))
+            self._end(("p",), ("table", "td", "button", "article", "section", "div", "body"))
         if name in ENDS:
-            self._end(stack, *ENDS[name])
-        top = stack[-1]
-        node = len(self.tag)
+            self._end(*ENDS[name])
+        top = self.stack[-1]
+        inside = self.inside[top] or name in ("article", "main")
+        self.pruned.append(self.pruned[top] or self._refused(name, attributes, inside))
         self.tag.append(name)
         self.parent.append(top)
-        self.pruned.append(self.pruned[top] or self._refused(stack, name, attributes))
+        self.inside.append(inside)
+        self.where.setdefault(name, []).append(len(self.stack))
         if name in BLOCK:
             self.pieces.append((top, " "))
-        stack.append(node)
-
-    def _end(self, stack: list[int], names: tuple[str, ...], bounds: tuple[str, ...]) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            tag = self.tag[stack[i]]
-            if tag in names:
-                del stack[i:]
-                self.pieces.append((stack[-1], " "))
-                return
-            if tag in bounds:
-                return
-
-    def _close(self, stack: list[int], name: str) -> None:
+            self.blocks.append(len(self.stack))
+        self.stack.append(len(self.tag) - 1)
+
+    def _end(self, names: tuple[str, ...], bounds: tuple[str, ...]) -> None:
+        place = self._nearest(names)
+        if place > self._nearest(bounds):
+            self._cut(place)
+            self.pieces.append((self.stack[-1], " "))
+
+    def _close(self, name: str) -> None:
         if name in BLOCK:
-            self.pieces.append((stack[-1], " "))
+            self.pieces.append((self.stack[-1], " "))
         if name in ("body", "html"):
             return
-        for i in range(len(stack) - 1, 0, -1):
-            if self.tag[stack[i]] == name:
-                del stack[i:]
-                return
-            if name not in BLOCK and self.tag[stack[i]] in BLOCK:
-                return
-
-    def _refused(self, stack: list[int], name: str, attributes: str) -> bool:
-        if name in PRUNED:
-            return True
-        if name == "header" and not any(self.tag[i] in ("article", "main") for i in stack):
+        place = self._nearest((name,))
+        if place and (name in BLOCK or not self.blocks or place > self.blocks[-1]):
+            self._cut(place)
+
+    def _refused(self, name: str, attributes: str, inside: bool) -> bool:
+        if name in PRUNED or name == "header" and not inside:
             return True
         if not attributes or name in WHOLE:
             return False
-        words: set[str] = set()
+        by_name = name in CONTAINERS or not inside
         for m in _NAMES.finditer(attributes):
             key, value = m.group(1).lower(), m.group(2) or m.group(3) or m.group(4) or ""
             if key == "hidden" or key == "aria-hidden" and value == "true":
                 return True
             if key == "role" and value.lower() in PRUNED_ROLES:
                 return True
-            if key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
+            if key == "style" and _UNSEEN.search(value):
+                return True
+            if key in ("class", "id") and by_name and any(_names_no_text(token, not inside and name not in HEADING) for token in value.split()):
                 return True
-            if key in ("class", "id"):
-                words.update(w.lower() for w in _WORD.findall(value))
-        return bool(words & REFUSED) or name not in HEADING and "header" in words and not any(self.tag[i] in ("article", "main") for i in stack)
+        return False
 
     def choose(self) -> set[int]:
         """The best container and the siblings kept with it."""
@@ -205,14 +243,9 @@ class Page:
                 give, at = 1 + own_commas[i] + min(own[i] // 100, 3), i
             else:
                 continue
-            share, level = 1.0, 0
-            while True:
-                points[at] += give * share
-                if at == 0:
-                    break
-                level += 1
-                share = 0.5 if level == 1 else 1 / (3 * level)
-                at = self.parent[at]
+            points[at] += give
+        for i in range(n - 1, 0, -1):
+            points[self.parent[i]] += points[i] / 2
         score = [p * (1 - links[i] / length[i]) if length[i] and not self.pruned[i] else 0.0 for i, p in enumerate(points)]
         best = max(range(n), key=lambda i: (score[i], -i))
         if score[best] <= 0:
@@ -240,7 +273,7 @@ class Page:
             if self.pruned[i]:
                 continue
             inside[i] = i in kept or i > 0 and inside[self.parent[i]]
-            if inside[i] and i not in kept and self.tag[i] in LISTS and self.length[i] and self.links[i] > 0.66 * self.length[i]:
+            if inside[i] and i not in kept and not self.inside[i] and self.tag[i] in LISTS and self.length[i] and self.links[i] > LINKED * self.length[i]:
                 inside[i] = False
         return " ".join("".join([t for node, t in self.pieces if inside[node]]).split())
 

@@ -52,3 +52,29 @@ def test_edges(spark):
     got = sorted((r.page_id, r.text, r.n_chars) for r in he.extract(pages).collect())
     assert got == [(1, "", 0), (2, "x", 1), (2, "x", 1)]
     assert he.extract(pages.limit(0)).count() == 0
+
+
+def test_names_do_not_take_article_text():
+    page = (
+        "<body><div class='menu'>No</div><article><h1>T</h1><p class='related-work'>Related, one.</p><div class='social-history'><p>Social, two.</p></div>"
+        "<p id='copyright-law'>Law, three.</p><label>Label four</label> <math><mi>x</mi><mo>=</mo><mn>5</mn></math><section id='discussion'><p>Six, six.</p></section>"
+        "<ul><li><a href='/r1'>Reference seven</a></li><li><a href='/r2'>Reference eight</a></li></ul>"
+        "<div class='share-buttons'>No</div><section class='comments'><p>No, no</p></section><div id='ad-slot-3'>No</div><form><label>No</label></form></article></body>"
+    )
+    assert he.main_text(page) == "T Related, one. Social, two. Law, three. Label four x=5 Six, six. Reference seven Reference eight"
+    plain = "<div><div class='social-history'><p>One, two, three.</p><p>Four, five.</p></div><div class='site-footer'><p>No, no, no</p></div><p class='copyright'>No</p></div>"
+    assert he.main_text(plain) == "One, two, three. Four, five."
+
+
+def test_time_is_linear():
+    """Deep nesting, open paragraphs and stray end tags: a megabyte in a few seconds, and twice the page in about twice the time."""
+    import time
+
+    for unit in ("<div>x ", "<ul><li>a, b", "<span>y</b> ", "<p>z, <i>", "</div><b>w</p>", "<table><tr><td>v"):
+        took = []
+        for size in (250_000, 1_000_000):
+            page = "<b><article>" + unit * (size // len(unit))
+            began = time.process_time()
+            he.main_text(page)
+            took.append(time.process_time() - began)
+        assert took[1] < 8 and took[1] < 10 * took[0] + 0.2, (unit, took)
