@@ -6,11 +6,12 @@
 2. The histogram of lengths, of ``capacity`` entries at most, goes to the
    driver. Patterns of up to four lengths (in units of capacity/128) that fill
    a sequence are enumerated, their repeat counts fitted by non-negative least
-   squares and rounded. Exact lengths are laid into the patterns by runs. Where a
-   pattern doesn't close exactly its shortest places (one of two, else two)
-   are left open. Residual
-   pieces go best-fit-decreasing into the room that is left, then into new
-   sequences. The driver never sees a document.
+   squares and rounded. Exact lengths are laid into all places of a pattern but
+   its smallest by runs; the smallest takes the length that closes the sequence
+   exactly, or the next shorter one within ``SLACK`` units; a pattern that no
+   length closes is taken up again. What is left is fitted again, ``ROUNDS`` times at most. Residual pieces go
+   best-fit-decreasing into the room that is left, then into new sequences. The
+   driver never sees a document.
 3. A piece finds its place from its length and its global rank among the
    pieces of that length, by a search in the broadcast plan.
 
@@ -22,7 +23,7 @@ An empty table gives no rows. Extra columns are ignored.
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +39,14 @@ CAPACITY = 2048
 CLOSING_ID = 0
 UNITS = 128
 PARTS = 4
+#: Units that the closing length of a pattern may fall short of its room.
+SLACK = 2
+#: Fits one after the other, each to what those before have left; a fit that lays less than LEAST of it is the last.
+ROUNDS = 4
+LEAST = 0.02
+#: Scales of the fitted counts, tried in this order, and the share of sequences that patterns may cost.
+SCALES = (1.0, 0.5, 0.25, 0.0)
+WORSE = 0.001
 
 
 def pieces_of(
@@ -129,55 +138,121 @@ class Placement:
 
 
 def plan_sequences(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, list[int]]]:
-    """Groups (repeat count, lengths) that hold the histogram exactly."""
+    """Groups (repeat count, lengths) that hold the histogram exactly.
+
+    In small or ragged histograms patterns can take lengths that others need. The fitted counts are then
+    scaled down until at most ``WORSE`` more sequences, and one, come out than by best fit alone.
+    """
+    least = None
+    for scale in SCALES:
+        left = {size: n for size, n in histogram.items() if n and size < capacity}
+        groups = [(histogram[capacity], [capacity])] if histogram.get(capacity) else []
+        if least is None:
+            least = sum(n for n, _ in best_fit(list(groups), dict(left), capacity))
+        plan = best_fit(groups + fit_patterns(left, capacity, scale), left, capacity)
+        if sum(n for n, _ in plan) <= least * (1 + WORSE) + 1:
+            return plan
+    return plan
+
+
+def pattern_share(histogram: dict[int, int], capacity: int = CAPACITY) -> float:
+    """Share of the pieces below ``capacity`` that patterns place."""
     left = {size: n for size, n in histogram.items() if n and size < capacity}
-    groups = [(histogram[capacity], [capacity])] if histogram.get(capacity) else []
-    groups += fit_patterns(left, capacity)
-    return best_fit(groups, left, capacity)
+    total = sum(left.values())
+    fit_patterns(left, capacity)
+    return 1 - sum(left.values()) / total if total else 1.0
 
 
-def fit_patterns(left: dict[int, int], capacity: int) -> list[tuple[int, list[int]]]:
+def fit_patterns(left: dict[int, int], capacity: int, scale: float = 1.0) -> list[tuple[int, list[int]]]:
     """Patterns laid with exact lengths; what they take is subtracted from ``left``."""
-    if not left:
-        return []
-    width = capacity / min(UNITS, capacity)
     units = min(UNITS, capacity)
-    unit = {size: min(units, max(1, int(size / width + 0.5))) for size in left}
-    h = np.zeros(units + 2)
-    bins: dict[int, list[list[int]]] = {}
-    for size in sorted(left):
-        h[unit[size]] += left[size]
-        bins.setdefault(unit[size], []).append([size, left[size]])
-    patterns = enumerate_patterns(units, PARTS, {u for u in bins})
-    if not len(patterns):
-        return []
-    x = nonnegative_least_squares(patterns, h, units)
-    groups: list[tuple[int, list[int]]] = []
-    free = h.copy()
-    for p in np.argsort(-x, kind="stable"):
-        if x[p] < 0.5:
+    patterns, groups = None, []
+    for _ in range(ROUNDS):
+        before = sum(left.values())
+        bins = Bins(left, capacity, units)
+        if patterns is None:
+            patterns = enumerate_patterns(units, PARTS, set(bins.sizes))
+        if not len(patterns):
             break
-        parts = [int(u) for u in patterns[p] if u <= units]
-        times = int(min([x[p] + 0.5, *(free[u] // parts.count(u) for u in set(parts))]))
-        if times <= 0:
-            continue
-        for u in parts:
-            free[u] -= times
-        runs = [take(bins[u], times, top=bool(j % 2)) for j, u in enumerate(parts)]
-        groups += merge_runs(runs)
-    kept = []
-    for count, sizes in groups:
-        sizes = sorted(sizes, reverse=True)
-        if sum(sizes) != capacity:
-            del sizes[-2 if len(sizes) > 2 else -1 :]
-        while sum(sizes) > capacity:
-            sizes.pop()
-        if not sizes:
-            continue
-        for size in sizes:
-            left[size] -= count
-        kept.append((count, sizes))
-    return kept
+        usable = patterns[(bins.count[patterns] > 0).all(axis=1)]
+        if not len(usable):
+            break
+        x = nonnegative_least_squares(usable, bins.count.astype(float), units) * scale
+        for p in np.argsort(-x, kind="stable"):
+            if x[p] < 0.5:
+                break
+            groups += lay(bins, [int(u) for u in usable[p] if u <= units], int(x[p] + 0.5), capacity)
+        if sum(left.values()) > (1 - LEAST) * before:
+            break
+    return groups
+
+
+class Bins:
+    """Lengths by unit with what is left of each. ``left`` is changed in place."""
+
+    def __init__(self, left: dict[int, int], capacity: int, units: int):
+        self.left, self.width = left, capacity / units
+        self.unit = {size: min(units, max(1, int(size / self.width + 0.5))) for size in left if left[size]}
+        self.sizes: dict[int, list[int]] = {}
+        self.count = np.zeros(units + 2, np.int64)
+        self.count[units + 1] = 1  # the unused places of a pattern
+        for size in sorted(self.unit):
+            self.sizes.setdefault(self.unit[size], []).append(size)
+            self.count[self.unit[size]] += left[size]
+        self.open = sorted(self.unit)
+
+    def take(self, size: int, n: int) -> None:
+        self.left[size] -= n
+        self.count[self.unit[size]] -= n
+        if not self.left[size]:
+            self.sizes[self.unit[size]].remove(size)
+            self.open.pop(bisect_left(self.open, size))
+
+    def run(self, unit: int, n: int, top: bool) -> list[tuple[int, int]]:
+        """``n`` lengths of a unit, the longest or the shortest first, as (length, repeats)."""
+        out = []
+        while n:
+            size = self.sizes[unit][-1 if top else 0]
+            now = min(n, self.left[size])
+            out.append((size, now))
+            self.take(size, now)
+            n -= now
+        return out
+
+    def give(self, size: int, n: int) -> None:
+        if not self.left[size]:
+            insort(self.sizes[self.unit[size]], size)
+            insort(self.open, size)
+        self.left[size] += n
+        self.count[self.unit[size]] += n
+
+    def closing(self, room: int) -> int | None:
+        """The longest length that is left within the room, if it falls short by SLACK units at most."""
+        at = bisect_right(self.open, room) - 1
+        return self.open[at] if at >= 0 and self.open[at] >= room - SLACK * self.width else None
+
+
+def lay(bins: Bins, parts: list[int], times: int, capacity: int) -> list[tuple[int, list[int]]]:
+    """A pattern up to ``times`` times: runs in all places but the smallest, which takes what closes the sequence."""
+    first = parts[:-1] or parts
+    times = int(min([times, *(bins.count[u] // first.count(u) for u in set(first))]))
+    if times <= 0:
+        return []
+    out = []
+    for count, sizes in merge_runs([bins.run(u, times, top=bool(j % 2)) for j, u in enumerate(first)]):
+        while sum(sizes) > capacity:  # rounding to units can overfill a sequence; its shortest length goes back
+            bins.give(sizes.pop(sizes.index(min(sizes))), count)
+        while count and len(parts) > 1 and (size := bins.closing(capacity - sum(sizes))) is not None:
+            now = min(count, bins.left[size])
+            bins.take(size, now)
+            out.append((now, [*sizes, size]))
+            count -= now
+        if count and len(parts) > 1:  # nothing closes these: they are left to the next fit or to best fit
+            for size in sizes:
+                bins.give(size, count)
+        elif count and sizes:
+            out.append((count, sizes))
+    return out
 
 
 def enumerate_patterns(units: int, parts: int, present: set[int]) -> np.ndarray:
@@ -249,20 +324,6 @@ def nonnegative_least_squares(patterns: np.ndarray, h: np.ndarray, units: int) -
     return x
 
 
-def take(runs: list[list[int]], count: int, top: bool) -> list[tuple[int, int]]:
-    """``count`` lengths from the top or the bottom of a bin, as (length, repeats)."""
-    out = []
-    while count:
-        run = runs[-1 if top else 0]
-        n = min(count, run[1])
-        out.append((run[0], n))
-        count -= n
-        run[1] -= n
-        if not run[1]:
-            runs.pop(-1 if top else 0)
-    return out
-
-
 def merge_runs(slots: list[list[tuple[int, int]]]) -> list[tuple[int, list[int]]]:
     """Rows of equal lengths: [(3, a), (2, b)] beside [(5, c)] is 3 of (a, c) and 2 of (b, c)."""
     edges = sorted({int(e) for s in slots for e in np.cumsum([n for _, n in s])})

@@ -5,7 +5,10 @@ are cut losslessly into pieces of ``capacity`` tokens. Within a task pieces
 are gathered into shards of a bounded number of tokens and packed, so there is
 no shuffle and no state beyond a shard. Each result row is one row of an id
 matrix with its cumulative segment lengths and the offsets at which positions
-start again; ``write_matrices`` stores them as files of raw ids with an index.
+start again. ``write_matrices`` stores them as binary files: for each shard the
+raw id matrix, row after row of little-endian unsigned 32-bit ids, and an index
+with the documents, cumulative segment lengths and position resets of its rows;
+``read_matrix`` maps them into memory again.
 
 Defined results: a null or empty text is one segment holding the closing id;
 repeated rows are packed as often as they stand; a null doc_id stays null in
@@ -14,6 +17,11 @@ the lists; an empty table gives no rows; extra columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
+import io
+import os
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -141,9 +149,66 @@ def position_ids(cu_seqlens: list[int], capacity: int = CAPACITY) -> np.ndarray:
     return out
 
 
-def write_matrices(rows: DataFrame, path: str) -> None:
-    """Parquet of (shard, row, ids, cu_seqlens, position_resets, ...): each ids cell is a raw matrix row."""
-    rows.write.mode("overwrite").parquet(path)
+INDEX = ("row_segments", "doc_ids", "null_ids", "pieces", "cu_seqlens", "position_resets")
+FILES = "shard long, rows long, n_tokens long, ids_file string, index_file string, ids_sha256 string"
+
+
+def write_matrices(rows: DataFrame, folder: str) -> DataFrame:
+    """Packed rows as files in a folder that all executors can write to (a mounted shared disk); one row a shard.
+
+    ``shard-X.ids``: the matrix. ``shard-X.npz``: row_segments (the first segment of each row, and the number of
+    segments), doc_ids and null_ids (1 where the id is null), pieces and position_resets by segment, cu_seqlens
+    (a row with k segments has k + 1 values). Files are written beside their place and renamed, and named
+    by the shard: a task that runs again, or twice, leaves the same files. ``rows`` are the rows of packed_rows,
+    not dealt anew, so that the rows of a shard follow each other in one task. The result has to be consumed.
+    """
+
+    def run(batches):
+        os.makedirs(folder, exist_ok=True)
+        held, now = [], None
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["shard"] != now and held:
+                    yield _write_shard(folder, held)
+                    held = []
+                now = row["shard"]
+                held.append(row)
+        if held:
+            yield _write_shard(folder, held)
+
+    return rows.mapInArrow(run, FILES)
+
+
+def _write_shard(folder: str, rows: list[dict]) -> pa.RecordBatch:
+    base = os.path.join(folder, f"shard-{rows[0]['shard']:012x}")
+    ids = b"".join(r["ids"] for r in rows)
+    docs = [d for r in rows for d in r["doc_ids"]]
+    arrays = (
+        np.cumsum([0] + [len(r["doc_ids"]) for r in rows], dtype=np.int64), np.array([d or 0 for d in docs], np.int64), np.array([d is None for d in docs], np.uint8),
+        *(np.array([x for r in rows for x in r[c]], np.int32) for c in ("pieces", "cu_seqlens", "position_resets")),
+    )
+    index = io.BytesIO()
+    np.savez(index, **dict(zip(INDEX, arrays)))
+    for name, data in ((base + ".ids", ids), (base + ".npz", index.getvalue())):
+        part = f"{name}.{uuid.uuid4().hex}"
+        with open(part, "wb") as out:
+            out.write(data)
+        os.replace(part, name)
+    found = (rows[0]["shard"], len(rows), sum(r["n_tokens"] for r in rows), base + ".ids", base + ".npz", hashlib.sha256(ids).hexdigest())
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string())
+    return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(found, kinds)], names=[f.split()[0] for f in FILES.split(", ")])
+
+
+def read_matrix(ids_file: str, index_file: str, capacity: int = CAPACITY) -> tuple[np.ndarray, list[dict]]:
+    """The id matrix of a shard, mapped, and doc_ids, pieces, cu_seqlens and position_resets of each row."""
+    matrix = np.memmap(ids_file, "<u4", "r").reshape(-1, capacity)
+    with np.load(index_file) as index:
+        first, docs, null, pieces, ends, resets = (index[c] for c in INDEX)
+    out = []
+    for k, (i, j) in enumerate(zip(first.tolist(), first[1:].tolist())):
+        ids = [None if n else d for d, n in zip(docs[i:j].tolist(), null[i:j].tolist())]
+        out.append({"doc_ids": ids, "pieces": pieces[i:j].tolist(), "cu_seqlens": ends[i + k : j + k + 1].tolist(), "position_resets": resets[i:j].tolist()})
+    return matrix, out
 
 
 def op8_token_output(spark, sf_dir: str) -> DataFrame:

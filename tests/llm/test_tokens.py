@@ -48,6 +48,19 @@ def test_plan_holds_histogram(h):
     assert sum(n for n, _ in plan) <= 1.1 * len(bins) + 1
 
 
+def test_patterns_place_most_pieces():
+    """Most pieces come to their place through a fitted pattern, in no more sequences than plain best fit needs."""
+    for seed, mean, sigma in ((1, 6.0, 0.9), (2, 6.5, 0.7), (3, 5.5, 1.1)):
+        lengths = np.clip(np.random.default_rng(seed).lognormal(mean, sigma, 30_000).astype(int), 1, 2048)
+        h = Counter(lengths.tolist())
+        plan = pp.plan_sequences(dict(h))
+        plain = pp.best_fit([(h[2048], [2048])] if h[2048] else [], {s: n for s, n in h.items() if s < 2048}, 2048)
+        used, least = sum(n for n, _ in plan), sum(n for n, _ in plain)
+        share = pp.pattern_share(dict(h))
+        print(seed, "share by patterns", round(share, 3), "sequences", used, "plain best fit", least, "bound", -(-sum(lengths) // 2048))
+        assert share > 0.5 and used <= least * 1.002 + 1
+
+
 def expected(docs):
     tok = WordTokenizer(tokenizer_path())
     return {d: [*tok.whole.encode(t or "", add_special_tokens=False).ids, 0] for d, t in docs}
@@ -113,3 +126,32 @@ def test_token_output_edges(spark):
     df = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 AS ids", "2 AS row")
     check_matrices(to.packed_rows(df).collect(), docs)
     assert to.packed_rows(df.limit(0)).count() == 0
+
+
+def test_matrix_files(spark, sf, tmp_path):
+    """Raw ids and index read back give every document's ids; a second run leaves the same files."""
+    from functools import reduce
+
+    docs = table(spark, sf, "documents").union(spark.createDataFrame([(None, "a null id", "en", "s", 9)], table(spark, sf, "documents").schema))
+    rows = to.packed_rows(docs, shard_tokens=20_000)
+    files = to.write_matrices(rows, str(tmp_path)).collect()
+    assert len(files) > 3 and sorted(f.ids_sha256 for f in to.write_matrices(rows, str(tmp_path)).collect()) == sorted(f.ids_sha256 for f in files)
+    got = defaultdict(dict)
+    for f in files:
+        matrix, index = to.read_matrix(f.ids_file, f.index_file)
+        assert len(matrix) == len(index) == f.rows and sum(r["cu_seqlens"][-1] for r in index) == f.n_tokens
+        for ids, r in zip(matrix, index):
+            assert r["position_resets"] == r["cu_seqlens"][:-1]
+            for d, p, a, b in zip(r["doc_ids"], r["pieces"], r["cu_seqlens"], r["cu_seqlens"][1:]):
+                got[d][p] = ids[a:b].tolist()
+    assert {d: reduce(list.__add__, [x[p] for p in sorted(x)]) for d, x in got.items()} == expected([(r.doc_id, r.text) for r in docs.collect()])
+    assert len(list(tmp_path.iterdir())) == 2 * len(files) and not to.write_matrices(to.packed_rows(docs.limit(0)), str(tmp_path)).collect()
+
+
+def test_shards_lose_little(spark):
+    """Packing by shards against one best fit over everything."""
+    rows = to.op8_token_output(spark, "/root/testdata/sf0.01").collect()
+    lengths = [b - a for r in rows for a, b in zip(r.cu_seqlens, r.cu_seqlens[1:])]
+    whole = len(to.best_fit_decreasing(lengths, to.CAPACITY))
+    print("rows", len(rows), "one best fit", whole, "bound", -(-sum(lengths) // to.CAPACITY))
+    assert len(rows) <= 1.02 * whole + 1
