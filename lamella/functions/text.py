@@ -7,7 +7,7 @@ Word lists are parameters: the caller brings the marks, phrases and stop words.
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -23,6 +23,9 @@ KANA = r"\x{3040}-\x{30FF}\x{FF66}-\x{FF9F}"
 HANGUL = r"\x{1100}-\x{11FF}\x{AC00}-\x{D7AF}"
 PROLONGATION = r"\x{30FC}\x{FF70}"
 
+#: The symbols, marks and white space below U+1100 one by one, which a pattern looks up in a bitmap.
+_NARROW = "".join(rf"\x{c:02x}" for c in (*range(0x09, 0x0E), *range(0x20, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F), 0xB7))
+
 FOREIGN_SHARE = 0.34
 STRICT_HANGUL_MIN = 3
 DESCRIPTION_WORDS = 4
@@ -33,6 +36,11 @@ REFUSALS = (
 CJK = ("ja", "ko", "zh")
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value evaluated once however often ``use`` names it: Catalyst does not copy it into a lambda."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 # ---------------------------------------------------------------- white space and letters
 
 
@@ -42,7 +50,7 @@ def squeeze(text: Column) -> Column:
 
 
 def strip_space(text: Column) -> Column:
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.btrim(text, F.lit(" \t\n\x0b\f\r"))
 
 
 def is_blank(text: Column) -> Column:
@@ -105,16 +113,29 @@ def is_symbol_or_punctuation(character: Column) -> Column:
 
 
 def script_counts(text: Column) -> Column:
-    """Letters by script. Symbols go first: the katakana middle dot stands inside the kana block."""
-    t = F.regexp_replace(F.coalesce(text, F.lit("")), rf"[{SYMBOLS}{ASCII_MARKS}\s]", "")
-    count = lambda c: F.regexp_count(t, F.lit(f"[{c}]"))
+    """Letters by script. Symbols go first: the katakana middle dot stands inside the kana block.
+
+    Texts without a character from U+1100 on, where the three scripts begin, are counted by two short patterns.
+    """
     known = HAN + KANA + HANGUL
-    return F.struct(
-        count(HAN).alias("han"), count(KANA).alias("kana"), count(HANGUL).alias("hangul"),
-        F.length(F.regexp_replace(t, rf"[{known}]|[^\p{{L}}]", "")).alias("latin"),
-        F.length(F.regexp_replace(t, rf"[{known}]|\p{{L}}", "")).alias("other"),
-        count(PROLONGATION).alias("prolongation"),
-    )
+    names = ("han", "kana", "hangul", "latin", "other", "prolongation")
+    row = lambda *values: F.struct(*[v.cast("int").alias(n) for v, n in zip(values, names)])
+    zero = F.lit(0)
+
+    def wide(t: Column) -> Column:
+        count = lambda c: F.regexp_count(t, F.lit(f"[{c}]"))
+        latin, rest = F.length(F.regexp_replace(t, rf"[{known}\P{{L}}]+", "")), F.length(F.regexp_replace(t, f"[{known}]+", ""))
+        return row(count(HAN), count(KANA), count(HANGUL), latin, rest - latin, count(PROLONGATION))
+
+    def narrow(t: Column) -> Column:
+        left = F.length(F.regexp_replace(t, f"[{_NARROW}]+", ""))
+        return once(F.length(F.regexp_replace(t, r"\P{L}+", "")), lambda latin: row(zero, zero, zero, latin, left - latin, zero))
+
+    def counts(t: Column) -> Column:
+        bare = F.regexp_replace(t, rf"[{SYMBOLS}{ASCII_MARKS}\s]+", "")
+        return F.when(t.rlike(r"[\x{1100}-\x{10FFFF}]"), once(bare, wide)).otherwise(narrow(t))
+
+    return once(F.coalesce(text, F.lit("")), counts)
 
 
 def letters(counts: Column) -> Column:
@@ -151,40 +172,42 @@ def resolve_script(tag: Column, engine_script: Column) -> Column:
     return F.when(declared != "unknown", declared).otherwise(F.coalesce(engine_script, F.lit("unknown")))
 
 
-def script_mismatch(text: Column, script: Column, share: float = FOREIGN_SHARE) -> Column:
-    """Share of letters of a foreign script: han and kana on Korean pages, kana on Chinese ones."""
-    c = script_counts(text)
+def _foreign(c: Column, script: Column, share: float) -> Column:
     foreign = F.when(script == "ko", c["han"] + c["kana"]).when(script == "zh", c["kana"])
     return F.coalesce((scripted(c) > 0) & (foreign / scripted(c) >= share), F.lit(False))
 
 
+def script_mismatch(text: Column, script: Column, share: float = FOREIGN_SHARE) -> Column:
+    """Share of letters of a foreign script: han and kana on Korean pages, kana on Chinese ones."""
+    return once(script_counts(text), lambda c: _foreign(c, script, share))
+
+
 def strict_korean_mismatch(text: Column, least: int = STRICT_HANGUL_MIN) -> Column:
     """No hangul, and several letters of known scripts."""
-    c = script_counts(text)
-    return (c["hangul"] == 0) & (scripted(c) >= least)
+    return once(script_counts(text), lambda c: (c["hangul"] == 0) & (scripted(c) >= least))
 
 
 def latin_on_cjk(text: Column, script: Column) -> Column:
     """On a CJK page, letters of known scripts, all of them Latin."""
-    c = script_counts(text)
-    return F.coalesce(script.isin(*CJK), F.lit(False)) & (scripted(c) > 0) & (scripted(c) == c["latin"])
+    return F.coalesce(script.isin(*CJK), F.lit(False)) & once(script_counts(text), lambda c: (scripted(c) > 0) & (scripted(c) == c["latin"]))
 
 
 def illegible_text(text: Column) -> Column:
     """No letter, one or two Latin letters only, or prolongation marks only."""
-    c = script_counts(text)
-    n = letters(c)
-    return (n == 0) | (c["prolongation"] == n) | ((c["latin"] > 0) & (n == c["latin"]) & (n < 3))
+
+    def illegible(c: Column) -> Column:
+        n = letters(c)
+        return (n == 0) | (c["prolongation"] == n) | ((c["latin"] > 0) & (n == c["latin"]) & (n < 3))
+
+    return once(script_counts(text), illegible)
 
 
 def wants_rotated_reread(text: Column) -> Column:
-    c = script_counts(text)
-    return (c["han"] > 0) & (c["kana"] == 0)
+    return once(script_counts(text), lambda c: (c["han"] > 0) & (c["kana"] == 0))
 
 
 def admit_hangul_reread(text: Column) -> Column:
-    c = script_counts(text)
-    return (c["hangul"] > 0) & (2 * c["hangul"] >= scripted(c))
+    return once(script_counts(text), lambda c: (c["hangul"] > 0) & (2 * c["hangul"] >= scripted(c)))
 
 
 def reread_candidate(text: Column, script: Column, free_standing: Column, effect: Column) -> Column:
@@ -233,11 +256,12 @@ def strip_mark(text: Column, mark: str) -> Column:
 
 def site_address(token: Column) -> Column:
     """host.tld with a top level of two to four letters, within other marks."""
-    return fold_fullwidth(token).rlike(r"^[^A-Za-z0-9]*[A-Za-z0-9][A-Za-z0-9.-]*\.[A-Za-z]{2,4}[^A-Za-z0-9]*$")
+    dotted = token.contains(".") | token.contains("．")
+    return dotted & fold_fullwidth(token).rlike(r"^[^A-Za-z0-9]*[A-Za-z0-9][A-Za-z0-9.-]*\.[A-Za-z]{2,4}[^A-Za-z0-9]*$")
 
 
 def orphaned_address_tail(token: Column) -> Column:
-    return token.rlike(r"^\.[A-Za-z]{2,4}[^A-Za-z0-9]*$")
+    return F.startswith(token, F.lit(".")) & token.rlike(r"^\.[A-Za-z]{2,4}[^A-Za-z0-9]*$")
 
 
 def story_text(text: Column, marks: Sequence[str], phrases: Sequence[str]) -> Column:
@@ -310,22 +334,24 @@ def refusal(
     engine_prefixes: Sequence[str] = (), scoped: bool = False,
 ) -> Column:
     """Why a read is refused, null if it isn't. The order of the cases is part of the meaning."""
-    t = strip_space(F.coalesce(text, F.lit("")))
-    c = script_counts(t)
-    n, all_latin = letters(c), (c["latin"] > 0) & (letters(c) == c["latin"])
-    voice = F.lit(False)
-    for p in engine_prefixes:
-        voice = voice | F.startswith(t, F.lit(p))
-    prose = all_latin & script.isin(*CJK) & ((word_count(t) >= DESCRIPTION_WORDS) | only_function_words(t, stop_words))
-    return (
-        F.when(t == "", "empty")
-        .when(only_site_furniture(t, marks, phrases, scoped), "watermark")
-        .when(n == 0, "punctuation_only")
-        .when(c["prolongation"] == n, "prolongation_only")
-        .when(all_latin & (n < 3), "junk")
-        .when(voice | F.coalesce(prose, F.lit(False)), "image_description")
-        .when(script_mismatch(t, script), "script_mismatch")
-    )
+
+    def verdict(t: Column, c: Column) -> Column:
+        n, all_latin = letters(c), (c["latin"] > 0) & (letters(c) == c["latin"])
+        voice = F.lit(False)
+        for p in engine_prefixes:
+            voice = voice | F.startswith(t, F.lit(p))
+        prose = all_latin & script.isin(*CJK) & ((word_count(t) >= DESCRIPTION_WORDS) | only_function_words(t, stop_words))
+        return (
+            F.when(t == "", "empty")
+            .when(only_site_furniture(t, marks, phrases, scoped), "watermark")
+            .when(n == 0, "punctuation_only")
+            .when(c["prolongation"] == n, "prolongation_only")
+            .when(all_latin & (n < 3), "junk")
+            .when(voice | F.coalesce(prose, F.lit(False)), "image_description")
+            .when(_foreign(c, script, FOREIGN_SHARE), "script_mismatch")
+        )
+
+    return once(strip_space(F.coalesce(text, F.lit(""))), lambda t: once(script_counts(t), lambda c: verdict(t, c)))
 
 
 def effect_refusal(text: Column, label: Column, connectives: Sequence[str], effect_label: str = "onomatopoeia") -> Column:

@@ -168,7 +168,7 @@ def take_previous(new: DataFrame, previous: DataFrame, least: float = 0.5) -> Da
         return pd.DataFrame(out, columns=["page", "ord", "prev"])
 
     p = previous.select("page", "prev", F.col("box").alias("__box"))
-    pairs = new.join(p, "page").select("page", "ord", "prev", g.overlap_of_smaller(F.col("box"), F.col("__box")).cast("double").alias("share"))
+    pairs = new.join(p, "page").select("page", "ord", "prev", g.overlap_of_smaller(F.col("box"), F.col("__box")).cast("double").alias("share")).where(F.col("share") >= least)
     kind = lambda df, c: df.schema[c].dataType.simpleString()
     taken = pairs.groupBy("page").applyInPandas(fold, f"page {kind(new, 'page')}, ord {kind(new, 'ord')}, prev {kind(previous, 'prev')}")
     return new.join(taken, ["page", "ord"], "left")

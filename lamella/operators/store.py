@@ -1,9 +1,11 @@
 """Event-sourced document store on Parquet tables.
 
 The log is ops(revision, seq, op, id, page, parent, position, kind, before,
-after, origin): insert, move and delete of entities (kind null), set and
-unset of components (kind named). State is a fold of the log; undo appends
-inverse operations as a new revision. Trees are walked by recursive SQL, graph
+after, origin, before_page, before_parent, before_position): insert, move and
+delete of entities (kind null), set and unset of components (kind named). State
+is a fold of the log; undo appends inverse operations as a new revision, for
+which moves and deletes carry the place before, and a delete comes behind unset
+rows of the components that go with it (``move_ops``, ``delete_ops``). Trees are walked by recursive SQL, graph
 closures by a frontier loop of joins.
 """
 
@@ -12,8 +14,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+PLACE = ("page", "parent", "position")
 CHECKPOINT_COMMITS = 1024
 CHECKPOINT_BYTES = 64 << 20
+#: Revisions that one task numbers.
+RANGE = 1 << 16
 FUNCTIONAL = ("Presents", "RecognizedFrom", "FitsTo")
 #: kind -> (source kind, target kind), as far as endpoints are bound.
 ENDPOINTS = {"Presents": ("layer", "content"), "RecognizedFrom": ("content", "region"), "FitsTo": ("layer", "region"), "Inside": ("region", "region")}
@@ -48,17 +53,71 @@ def recovery(checkpoint: DataFrame, ops: DataFrame, head: int, at: int) -> DataF
 
 
 def inverse(ops: DataFrame) -> DataFrame:
-    """Exact inverse operations: sides swapped, order reversed."""
+    """Exact inverse operations: sides and places swapped, order reversed. Without before_* columns moves and deletes keep their place."""
     op = F.col("op")
     back = F.when(op == "insert", "delete").when(op == "delete", "insert").when((op == "set") & F.col("before").isNull(), "unset").when(op == "unset", "set").otherwise(op)
-    return ops.withColumn("op", back).withColumn("__b", F.col("before")).withColumn("before", F.col("after")).withColumn("after", F.col("__b")).withColumn("seq", -F.col("seq")).drop("__b")
+    sides = [("before", "after"), *((f"before_{c}", c) for c in PLACE if f"before_{c}" in ops.columns)]
+    swapped = {c: F.col(d) for a, b in sides for c, d in ((a, b), (b, a))}
+    return ops.withColumns({**swapped, "op": back, "seq": -F.col("seq")})
 
 
-def undo(ops: DataFrame, revisions: list[int], head: int) -> DataFrame:
-    """Inverse operations of distinct revisions, the latest first, as revision head + 1."""
-    back = inverse(ops.where(F.col("revision").isin(*sorted(set(revisions)))))
-    w = Window.orderBy(F.desc("revision"), "seq")
-    return back.withColumn("seq", F.row_number().over(w) - 1).withColumn("revision", F.lit(head + 1).cast("long")).select(*ops.columns)
+def undo(ops: DataFrame, revisions: list[int] | Column, head: int) -> DataFrame:
+    """Inverse operations of revisions (a list, or a condition on the log), the latest first, as revision head + 1.
+
+    Rows are numbered within their revision and shifted by the sizes of those before: no window runs over all of them.
+    """
+    chosen = revisions if isinstance(revisions, Column) else F.col("revision").isin(*sorted(set(revisions)))
+    back = inverse(ops.where(chosen))
+    later = Window.orderBy(F.desc("revision")).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = back.groupBy("revision").agg(F.count("*").alias("__n")).select("revision", F.coalesce(F.sum("__n").over(later), F.lit(0)).alias("__before"))
+    rank = F.row_number().over(Window.partitionBy("revision").orderBy("seq")) - 1
+    numbered = back.withColumn("__rank", rank).join(sizes, "revision")
+    return numbered.withColumns({"seq": F.col("__rank") + F.col("__before"), "revision": F.lit(head + 1).cast("long")}).select(*ops.columns)
+
+
+def _log_rows(rows: DataFrame, revision: int, **given: Column) -> DataFrame:
+    """Rows of the log with the given columns; the others are null."""
+    kinds = {"seq": "int", "position": "int", "before_position": "int"}
+    names = ["seq", "op", "id", "page", "parent", "position", "kind", "before", "after", "origin", "before_page", "before_parent", "before_position"]
+    return rows.select(F.lit(revision).cast("long").alias("revision"), *[given.get(c, F.lit(None)).cast(kinds.get(c, "string")).alias(c) for c in names])
+
+
+def insert_ops(new: DataFrame, revision: int) -> DataFrame:
+    """Inserts of entities (id, page, parent, position)."""
+    return _log_rows(new, revision, seq=F.lit(0), op=F.lit("insert"), id=F.col("id"), **{c: F.col(c) for c in PLACE})
+
+
+def move_ops(entities: DataFrame, moves: DataFrame, revision: int) -> DataFrame:
+    """Moves (id, page, parent, position) of entities as they stand, with their place before; unknown ids give no row."""
+    was = entities.select("id", *[F.col(c).alias(f"before_{c}") for c in PLACE])
+    return _log_rows(moves.join(was, "id"), revision, seq=F.lit(0), op=F.lit("move"), id=F.col("id"), **{c: F.col(c) for c in (*PLACE, *(f"before_{c}" for c in PLACE))})
+
+
+def set_ops(components: DataFrame, edits: DataFrame, revision: int) -> DataFrame:
+    """Edits (id, kind, value, origin) of components as they stand; a null value unsets, and what changes nothing gives no row."""
+    was = components.select("id", "kind", F.col("value").alias("before"))
+    changed = edits.join(was, ["id", "kind"], "left").where(~F.col("value").eqNullSafe(F.col("before")))
+    op = F.when(F.col("value").isNull(), "unset").otherwise("set")
+    return _log_rows(changed, revision, seq=F.lit(0), op=op, id=F.col("id"), kind=F.col("kind"), before=F.col("before"), after=F.col("value"), origin=F.col("origin"))
+
+
+def delete_ops(entities: DataFrame, components: DataFrame, doomed: DataFrame, revision: int) -> DataFrame:
+    """Deletes of entities (id) as they stand, behind the unset rows of their components, so that undo restores both."""
+    gone = components.join(doomed.select("id").distinct(), "id")
+    unset = _log_rows(gone, revision, seq=F.lit(0), op=F.lit("unset"), id=F.col("id"), kind=F.col("kind"), before=F.col("value"), origin=F.col("origin"))
+    rows = entities.join(doomed.select("id").distinct(), "id")
+    return unset.union(_log_rows(rows, revision, seq=F.lit(1), op=F.lit("delete"), id=F.col("id"), **{f"before_{c}": F.col(c) for c in PLACE}))
+
+
+def place_violations(entities: DataFrame, pages: DataFrame, moves: DataFrame) -> DataFrame:
+    """Why moves or inserts (id, page, parent, position) can't be made: a page (id) below the root, an unknown parent, a parent in the own subtree."""
+    below = moves.where("parent IS NOT NULL")
+    not_root = below.join(pages.select("id"), "id", "left_semi").select("id", F.lit("page below the root").alias("why"))
+    known = entities.select("id").union(moves.select("id")).distinct().select(F.col("id").alias("parent"))
+    orphan = below.join(known, "parent", "left_anti").select("id", F.lit("unknown parent").alias("why"))
+    under = subtree(entities, below.join(entities.select("id"), "id", "left_semi").select("id").distinct()).select(F.col("root").alias("id"), F.col("id").alias("parent"))
+    cycle = below.join(under, ["id", "parent"], "left_semi").select("id", F.lit("parent in the own subtree").alias("why"))
+    return not_root.union(orphan).union(cycle)
 
 
 def origin_conflicts(current: DataFrame, edits: DataFrame) -> DataFrame:
@@ -94,11 +153,18 @@ def ensure_head(ops: DataFrame, expected: int) -> DataFrame:
 
 
 def needs_checkpoint(commits: DataFrame, commits_at: int = CHECKPOINT_COMMITS, bytes_at: int = CHECKPOINT_BYTES) -> DataFrame:
-    """commits (revision, bytes, checkpointed) with what ran up since the last checkpoint and whether one is due."""
-    w = Window.orderBy("revision").rowsBetween(Window.unboundedPreceding, 0)
-    epoch = F.sum(F.col("checkpointed").cast("int")).over(w) - F.col("checkpointed").cast("int")
+    """commits (revision, bytes, checkpointed) with what ran up since the last checkpoint and whether one is due.
+
+    Epochs are counted within ranges of revisions and shifted by the ranges before, one row each.
+    """
+    flag = F.col("checkpointed").cast("int")
+    ranged = commits.withColumn("__range", F.floor(F.col("revision") / RANGE))
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = ranged.groupBy("__range").agg(F.sum(flag).alias("__n")).select("__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__shift"))
+    w = Window.partitionBy("__range").orderBy("revision").rowsBetween(Window.unboundedPreceding, 0)
+    out = ranged.withColumn("epoch", F.sum(flag).over(w) - flag).join(shifts, "__range").withColumn("epoch", F.col("epoch") + F.col("__shift")).drop("__range", "__shift")
     in_epoch = Window.partitionBy("epoch").orderBy("revision").rowsBetween(Window.unboundedPreceding, 0)
-    out = commits.withColumn("epoch", epoch).withColumn("commits", F.count("*").over(in_epoch)).withColumn("size", F.sum("bytes").over(in_epoch))
+    out = out.withColumn("commits", F.count("*").over(in_epoch)).withColumn("size", F.sum("bytes").over(in_epoch))
     return out.withColumn("due", (F.col("commits") >= commits_at) | (F.col("size") >= bytes_at))
 
 
@@ -115,17 +181,14 @@ def changes(ops: DataFrame) -> DataFrame:
 
 def subtree(entities: DataFrame, roots: DataFrame, max_depth: int = 256) -> DataFrame:
     """Entities (id, parent, position) under the roots (id), in pre-order by ``path``; the roots come with depth 0."""
-    spark = entities.sparkSession
-    entities.createOrReplaceTempView("lamella_entities")
-    roots.createOrReplaceTempView("lamella_roots")
-    return spark.sql(f"""
+    return entities.sparkSession.sql(f"""
         WITH RECURSIVE tree(root, id, depth, path) MAX RECURSION LEVEL {max_depth} AS (
             SELECT r.id, r.id, 0, CAST(lpad(CAST(e.position AS STRING), 10, '0') AS STRING)
-            FROM lamella_roots r JOIN lamella_entities e ON e.id = r.id
+            FROM {{roots}} r JOIN {{entities}} e ON e.id = r.id
             UNION ALL
             SELECT t.root, e.id, t.depth + 1, concat(t.path, '/', lpad(CAST(e.position AS STRING), 10, '0'))
-            FROM tree t JOIN lamella_entities e ON e.parent = t.id
-        ) SELECT root, id, depth, path FROM tree""")
+            FROM tree t JOIN {{entities}} e ON e.parent = t.id
+        ) SELECT root, id, depth, path FROM tree""", entities=entities, roots=roots)
 
 
 def descendants(entities: DataFrame, roots: DataFrame) -> DataFrame:
@@ -151,17 +214,14 @@ def visual_order(entities: DataFrame, roots: DataFrame) -> DataFrame:
 
     entities: id, parent, position, opacity, visible.
     """
-    spark = entities.sparkSession
-    entities.createOrReplaceTempView("lamella_visual")
-    roots.createOrReplaceTempView("lamella_visual_roots")
-    return spark.sql("""
+    return entities.sparkSession.sql("""
         WITH RECURSIVE tree(root, id, opacity, path) MAX RECURSION LEVEL 256 AS (
             SELECT r.id, r.id, CAST(e.opacity AS DOUBLE), CAST(lpad(CAST(e.position AS STRING), 10, '0') AS STRING)
-            FROM lamella_visual_roots r JOIN lamella_visual e ON e.id = r.id WHERE e.visible
+            FROM {roots} r JOIN {entities} e ON e.id = r.id WHERE e.visible
             UNION ALL
             SELECT t.root, e.id, t.opacity * CAST(e.opacity AS DOUBLE), concat(t.path, '/', lpad(CAST(e.position AS STRING), 10, '0'))
-            FROM tree t JOIN lamella_visual e ON e.parent = t.id WHERE e.visible
-        ) SELECT root, id, opacity, path FROM tree""")
+            FROM tree t JOIN {entities} e ON e.parent = t.id WHERE e.visible
+        ) SELECT root, id, opacity, path FROM tree""", entities=entities, roots=roots)
 
 
 def relations_from(relations: DataFrame, kind: str | None = None) -> DataFrame:

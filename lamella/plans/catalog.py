@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from lamella.plans import region_plane, sequence_plane, store_plane, text_plane
+from lamella.plans import detail_plane, region_plane, sequence_plane, store_plane, text_plane
 
 
 def _all() -> dict:
-    return {**text_plane.QUERIES, **region_plane.QUERIES, **sequence_plane.QUERIES, **store_plane.QUERIES}
+    return {**text_plane.QUERIES, **region_plane.QUERIES, **sequence_plane.QUERIES, **store_plane.QUERIES, **detail_plane.QUERIES}
 
 
 def queries() -> dict:

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lamella.functions.text import once
+
 REGION = (
     "x double, y double, width double, height double, source string, translated string, fit_x double, fit_y double, fit_width double, fit_height double, "
     "source_language string, target_language string, detection_confidence float, ocr_confidence float, direction string, writing_mode string, "
@@ -37,17 +39,23 @@ def corpus_summary(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.explode("sources").alias("s")).select("s.key", "s.language", "s.engine", F.posexplode("s.pages").alias("page", "p")).select("key", "language", "engine", "page", "p.*")
 
 
-def json_root(text: Column) -> Column:
-    """The first of up to MAX_ROOTS places where an object or list opens, with typographic quotes made plain; what trails is cut by the parser."""
-    plain = F.translate(F.coalesce(text, F.lit("")), "“”„‟‘’‚", "\"\"\"\"'''")
+def json_roots(text: Column) -> Column:
+    """The text from each of the first MAX_ROOTS places where an object or list opens, with typographic quotes made plain; what trails is cut by the parser."""
+    plain = F.translate(F.coalesce(text, F.lit("")), "“”„‟‘’‚", "\"\"\"\"\'\'\'")
     body = F.regexp_replace(plain, r"(?s)^.*?```(?:json)?\s*|\s*```.*$", "")
     fenced = F.when(plain.rlike(r"(?s)```.*```"), body).otherwise(plain)
-    return F.regexp_extract(fenced, r"(?s)([\[{].*)", 1)
+
+    def from_each(parts: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(1), F.least(F.size(parts), F.lit(MAX_ROOTS + 1))), lambda i: F.element_at(parts, i).rlike(r"^[\[{]"))
+        return F.transform(F.slice(starts, 1, MAX_ROOTS), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), ""))
+
+    return once(F.split(fenced, r"(?=[\[{])"), from_each)
 
 
 def reply_records(replies: DataFrame, text: str = "reply") -> DataFrame:
-    """One row a reply record (…, pos, id, text) from model output; unreadable output gives none."""
-    parsed = F.from_json(json_root(F.col(text)), REPLY, TOLERANT)["translations"]
+    """One row a reply record (…, pos, id, text) from model output, read from the first root that holds records; unreadable output gives none."""
+    tried = F.transform(json_roots(F.col(text)), lambda root: F.from_json(root, REPLY, TOLERANT)["translations"])
+    parsed = F.try_element_at(F.filter(tried, lambda x: x.isNotNull()), F.lit(1))
     keep = [c for c in replies.columns if c != text]
     out = replies.select(*keep, F.posexplode(parsed).alias("pos", "r"))
     return out.select(*keep, "pos", F.col("r.id").try_cast("bigint").alias("id"), F.translate(F.col("r.text"), "\x00", "").alias("text"))
@@ -158,19 +166,23 @@ def image_pages(spark: SparkSession, path: str, glob: str = "*.{png,jpg,jpeg,web
 
     def heads(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            found = [image_size(bytes(b)) for b in pdf["head"]]
+            found = [image_size(b) for b in pdf["content"]]
             yield pd.DataFrame({"path": pdf["path"], "blob_id": pdf["blob_id"], "size": pdf["size"], "mime": [f and "image/" + f for f, _, _ in found],
                                 "width": pd.array([w for _, w, _ in found], "Int32"), "height": pd.array([h for _, _, h in found], "Int32")})
 
-    source = files.select("path", F.sha2("content", 256).alias("blob_id"), F.col("length").alias("size"), F.expr("substring(content, 1, 65536)").alias("head"))
+    source = files.select("path", F.sha2("content", 256).alias("blob_id"), F.col("length").alias("size"), "content")
     return source.mapInPandas(heads, "path string, blob_id string, size long, mime string, width int, height int")
 
 
 def page_order(pages: DataFrame) -> DataFrame:
-    """Pages numbered by path."""
+    """Pages numbered by path: within each folder, shifted by the pages of the folders before, one row each."""
     from pyspark.sql import Window
 
-    return pages.withColumn("page", F.row_number().over(Window.orderBy("path")) - 1)
+    foldered = pages.withColumn("__folder", F.regexp_replace("path", "[^/]*$", "")).withColumn("__name", F.regexp_extract("path", "[^/]*$", 0))
+    before = Window.orderBy("__folder").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = foldered.groupBy("__folder").agg(F.count("*").alias("__n")).select("__folder", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__shift"))
+    ranked = foldered.withColumn("__rank", F.row_number().over(Window.partitionBy("__folder").orderBy("__name")) - 1)
+    return ranked.join(shifts, "__folder").withColumn("page", F.col("__rank") + F.col("__shift")).select(*pages.columns, "page")
 
 
 def pack_bits(data: bytes) -> bytes:

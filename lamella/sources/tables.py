@@ -12,8 +12,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``, which driver and executors share; under /tmp where it is unset, as in tests."""
-    return (spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/checkpoints").rstrip("/")
+    """``spark.checkpoint.dir``, which driver and executors share and a cluster must name; under /tmp where it is unset on a local master, as in tests."""
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return (found or "/tmp/checkpoints").rstrip("/")
 
 
 def written(df: DataFrame, label: str = "step") -> DataFrame:

@@ -320,3 +320,62 @@ def test_closure_of_a_long_chain(spark):
     rel = spark.createDataFrame([(i, i + 1) for i in range(67)], "source long, target long").coalesce(1)
     seeds = spark.createDataFrame([(0,)], "id long").coalesce(1)
     assert {r.id for r in store.closure(rel, seeds).collect()} == set(range(68))
+
+
+def test_undo_restores_places_and_components(spark):
+    log = spark.createDataFrame(
+        [(1, 0, "insert", "a", "p1", None, 1, None, None, None, "user", None, None, None), (1, 1, "set", "a", None, None, None, "k", None, "v", "user", None, None, None)],
+        "revision long, seq int, op string, id string, page string, parent string, position int, kind string, before string, after string, origin string, before_page string, before_parent string, before_position int",
+    )
+    moved = log.unionByName(store.move_ops(store.fold_entities(log), spark.createDataFrame([("a", "p2", "g", 5)], "id string, page string, parent string, position int"), 2))
+    assert [tuple(r) for r in store.fold_entities(moved).collect()] == [("a", "p2", "g", 5)]
+    back = moved.unionByName(store.undo(moved, [2], 2))
+    assert [tuple(r) for r in store.fold_entities(back).collect()] == [("a", "p1", None, 1)]
+    gone = moved.unionByName(store.delete_ops(store.fold_entities(moved), store.fold_components(moved), spark.createDataFrame([("a",)], "id string"), 3))
+    assert not store.fold_entities(gone).count() and not store.fold_components(gone).count()
+    again = gone.unionByName(store.undo(gone, [3], 3))
+    assert [tuple(r) for r in store.fold_entities(again).collect()] == [("a", "p2", "g", 5)]
+    assert [(r.id, r.kind, r.value) for r in store.fold_components(again).collect()] == [("a", "k", "v")]
+
+
+def test_refusal_counts_once(spark):
+    """The refusal's plan holds few patterns, however many cases name the counts."""
+    from pyspark.sql import functions as F
+
+    from lamella.functions import text as t
+    from lamella.plans import samples
+
+    why = t.refusal(F.col("text"), F.col("script"), samples.MARKS, samples.PHRASES, samples.STOP_WORDS, samples.PREFIXES)
+    plan = samples.reads(spark).select(why.alias("why"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") < 12 and plan.count("regexp_count") <= 4
+
+
+def test_rest_works_without_llm(tmp_path):
+    """A copy without the llm folders imports, has the other queries and runs one."""
+    import os
+    import shutil
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    for name in ("lamella", "tests", "__spark_entry__.py", "corpus_pipeline.py"):
+        if os.path.exists(f"{root}/{name}"):
+            (shutil.copytree if os.path.isdir(f"{root}/{name}") else shutil.copy)(f"{root}/{name}", tmp_path / name)
+    for name in ("lamella/llm", "tests/llm"):
+        shutil.rmtree(tmp_path / name, ignore_errors=True)
+    code = "import __spark_entry__ as e; q = e.queries(); s = e.oracle_sql(); assert len(q) > 70 and 'pipeline' not in q and not any(n.startswith('op') and n[2].isdigit() for n in q), len(q); assert set(s) <= set(q)"
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={**os.environ, "PYTHONPATH": str(tmp_path)}, capture_output=True, text=True, timeout=120)
+    assert done.returncode == 0, done.stderr[-800:]
+
+
+def test_images_with_long_headers(tmp_path, spark):
+    """A JPEG whose metadata blocks are longer than 64 KB still has a size."""
+    import struct
+
+    from lamella.sources import readers
+
+    block = b"\xff\xe1" + struct.pack(">H", 60_002) + b"x" * 60_000
+    (tmp_path / "a.jpg").write_bytes(b"\xff\xd8" + block * 3 + b"\xff\xc0" + struct.pack(">HBHHB", 11, 8, 40, 30, 1) + b"\x01\x11\x00" + b"\xff\xd9")
+    (tmp_path / "b.png").write_bytes(b"no image")
+    rows = readers.page_order(readers.image_pages(spark, str(tmp_path))).orderBy("page").collect()
+    assert [(r.mime, r.width, r.height, r.page) for r in rows] == [("image/jpeg", 30, 40, 0), (None, None, None, 1)]
