@@ -78,18 +78,6 @@ WITH {_OPS_SQL} SELECT CAST(1000001 AS BIGINT) AS revision, row_number() OVER (O
 CASE op WHEN 'insert' THEN 'delete' WHEN 'delete' THEN 'insert' WHEN 'set' THEN 'unset' ELSE 'set' END AS op, id FROM ops WHERE revision BETWEEN 40 AND 79"""
 
 
-def store_gc(spark, sf_dir):
-    """Parts that no line item of every eighth order references: count and size reclaimed."""
-    blobs = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("blob_id"), F.col("p_size").cast("long").alias("size"))
-    refs = table(spark, sf_dir, "lineitem").where("l_orderkey % 8 = 0").select(F.array("l_partkey").alias("blob_refs"))
-    leased = blobs.where("blob_id % 50 = 0")
-    return store.reclaimed(store.collect_garbage(blobs, store.referenced_blobs(refs), leased))
-
-
-STORE_GC = """
-SELECT count(*) AS blobs, CAST(sum(p_size) AS BIGINT) AS bytes FROM part WHERE p_partkey % 50 <> 0 AND p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_orderkey % 8 = 0)"""
-
-
 def store_gc_shipped(spark, sf_dir):
     """Parts that no line item shipped from a date on references: count and size reclaimed."""
     blobs = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("blob_id"), F.col("p_size").cast("long").alias("size"))
@@ -150,20 +138,6 @@ t AS (SELECT id AS root, id, CAST(opacity AS DOUBLE) AS opacity FROM v WHERE par
 SELECT root, id, round(opacity, 6) AS opacity FROM t"""
 
 
-def relation_closure(spark, sf_dir):
-    """Orders and parts joined to an order by items, two ways, over few parts."""
-    li = table(spark, sf_dir, "lineitem").where("l_partkey % 40 = 0")
-    rel = li.select(F.concat(F.lit("o"), F.col("l_orderkey").cast("string")).alias("source"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("target"))
-    seeds = rel.where("target = 'p40'").select(F.col("target").alias("id")).distinct()
-    return store.closure(rel, seeds)
-
-
-RELATION_CLOSURE = """
-WITH RECURSIVE r AS (SELECT 'o' || l_orderkey AS a, 'p' || l_partkey AS b FROM lineitem WHERE l_partkey % 40 = 0), u AS (SELECT a, b FROM r UNION SELECT b, a FROM r),
-t AS (SELECT 'p40' AS id WHERE EXISTS (SELECT 1 FROM r WHERE b = 'p40') UNION SELECT u.b FROM t JOIN u ON u.a = t.id)
-SELECT id FROM t"""
-
-
 def relation_closure_all(spark, sf_dir):
     """Orders and parts joined to a part by line items, two ways, over all line items."""
     rel = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("o"), F.col("l_orderkey").cast("string")).alias("source"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("target"))
@@ -255,7 +229,7 @@ SELECT stage, count(*) AS n FROM (
 
 QUERIES = {
     "store_fold": (store_fold, STORE_FOLD), "store_changes": (store_changes, STORE_CHANGES), "store_conflicts": (store_conflicts, STORE_CONFLICTS), "store_undo": (store_undo, STORE_UNDO),
-    "store_gc": (store_gc, STORE_GC), "store_gc_shipped": (store_gc_shipped, STORE_GC_SHIPPED), "subtree": (subtree, SUBTREE), "unique_roots": (unique_roots, UNIQUE_ROOTS), "visual_order": (visual_order, VISUAL_ORDER),
-    "relation_closure": (relation_closure, RELATION_CLOSURE), "relation_closure_all": (relation_closure_all, RELATION_CLOSURE_ALL), "relation_rules": (relation_rules, RELATION_RULES), "checkpoint_due": (checkpoint_due, CHECKPOINT_DUE),
+    "store_gc_shipped": (store_gc_shipped, STORE_GC_SHIPPED), "subtree": (subtree, SUBTREE), "unique_roots": (unique_roots, UNIQUE_ROOTS), "visual_order": (visual_order, VISUAL_ORDER),
+    "relation_closure_all": (relation_closure_all, RELATION_CLOSURE_ALL), "relation_rules": (relation_rules, RELATION_RULES), "checkpoint_due": (checkpoint_due, CHECKPOINT_DUE),
     "guard_verdicts": (guard_verdicts, GUARD_VERDICTS), "export_names": (export_names, EXPORT_NAMES), "stage_schedule": (stage_schedule, STAGE_SCHEDULE),
 }

@@ -21,7 +21,7 @@ def test_names_are_known():
 
 
 def test_closure_covers_all_line_items(spark):
-    """The whole closure reaches parts that the filtered one leaves out; a breadth-first loop gives the same."""
+    """The closure reaches what a breadth-first loop reaches."""
     path = "/root/testdata/sf0.001"
     near = {}
     for r in spark.read.parquet(f"{path}/lineitem.parquet").select("l_orderkey", "l_partkey").collect():
