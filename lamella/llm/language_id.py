@@ -48,6 +48,7 @@ ORDERS = (3, 4)
 DIM = 16
 SNIPPET = 400
 PER_CLASS = 1000
+MIN_STEPS = 1500
 #: A score over 1/k + CAP (1 - 1/k) with k languages is not rejected.
 CAP = 1 / 3
 FEW = 20
@@ -150,6 +151,7 @@ def train(rows: list[tuple[list[Bag], str]], seed: int = 7, epochs: int = 4, rat
     out = np.zeros((DIM, len(classes)), dtype=np.float32)
     bias = np.zeros(len(classes), dtype=np.float32)
     batch, steps = 16, 0
+    epochs = max(epochs, -(-MIN_STEPS * batch // max(1, len(bags))))  # a small sample is read more often
     total = max(1, epochs * -(-len(bags) // batch))
     for _ in range(epochs):
         mix = rng.permutation(len(bags))
