@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lamella.functions import geometry as g
+from lamella.operators.spatial import gridded
 
 
 def greedy_suppression(detections: DataFrame, iou_at: float = 0.5, contained_at: float = 0.9, lettered: tuple[str, ...] = ("text",)) -> DataFrame:
@@ -115,12 +116,15 @@ def resolve_duplicates(candidates: DataFrame, shared_source: bool = False, orien
     """Dropped candidates (page, ord). A dropped one condemns nobody: pairs are walked in (a, b) order.
 
     candidates: page, ord, text, fit, source_box, and poly if oriented. The
-    pairs come from a join on page with the overlap as residual; the walk is a
-    fold over a page's sorted pairs.
+    pairs come from shared grid cells, those of polygons from a join on page;
+    the walk is a fold over a page's sorted pairs.
     """
-    second = candidates.select(*[F.col(c).alias(f"r_{c}") for c in candidates.columns])
-    meets = g.convex_overlaps(F.col("poly"), F.col("r_poly")) if oriented else g.overlaps(F.col("fit"), F.col("r_fit"))
-    pairs = candidates.join(second, (F.col("page") == F.col("r_page")) & (F.col("ord") < F.col("r_ord"))).where(meets)
+    second = candidates.select("page", *[F.col(c).alias(f"r_{c}") for c in candidates.columns if c != "page"])
+    later = F.col("ord") < F.col("r_ord")
+    if oriented:
+        pairs = candidates.join(second, "page").where(later & g.convex_overlaps(F.col("poly"), F.col("r_poly")))
+    else:
+        pairs = gridded(candidates, second, later, left_box="fit", right_box="r_fit")
     if shared_source:
         pairs = pairs.where(g.shares_source(F.col("source_box"), F.col("r_source_box")))
     area = lambda b: b["width"] * b["height"]

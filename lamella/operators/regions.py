@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lamella.functions import geometry as g
 from lamella.functions import text as t
+from lamella.operators.spatial import gridded
 
 EFFECT = "onomatopoeia"
 
@@ -73,15 +74,18 @@ def stamp_refusals(regions: DataFrame, refusals: DataFrame) -> DataFrame:
 def stamp_occlusion(regions: DataFrame, hints: DataFrame, reach: float = 16) -> DataFrame:
     """Unrefused regions near a watermark's box, else near an unread hint that isn't their own ink.
 
-    regions: page, id, box, refused; hints: page, box. Joined on page, with
-    the distance as residual; each region keeps one row.
+    regions: page, id, box, refused; hints: page, box. Joined through grid
+    cells of widened hints, with the distance as residual; each region keeps
+    one row.
     """
-    own, other = F.col("box"), F.col("__box")
+    own, other, out = F.col("box"), F.col("__box"), reach + 1
     near = g.within_band(own, other, reach)
     plates = regions.where("refused = 'watermark'").select("page", F.col("box").alias("__box"), F.lit(0).alias("__rank"))
     unread = hints.select("page", F.col("box").alias("__box"), F.lit(1).alias("__rank"))
     live = regions.where("refused IS NULL")
-    ranked = live.join(plates.union(unread), "page").where(near & ((F.col("__rank") == 0) | ~g.mostly_same_ink(own, other)))
+    wide = g.box(other["x"] - out, other["y"] - out, other["width"] + 2 * out, other["height"] + 2 * out)
+    marks = plates.union(unread).withColumn("__wide", wide)
+    ranked = gridded(live, marks, near & ((F.col("__rank") == 0) | ~g.mostly_same_ink(own, other)), right_box="__wide")
     best = ranked.groupBy("page", "id").agg(F.min("__rank").alias("__rank"))
     why = F.when(F.col("__rank") == 0, "watermark").when(F.col("__rank") == 1, "unread-box")
     return regions.join(best, ["page", "id"], "left").withColumn("occluded_by", why).drop("__rank")

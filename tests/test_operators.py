@@ -379,3 +379,24 @@ def test_images_with_long_headers(tmp_path, spark):
     (tmp_path / "b.png").write_bytes(b"no image")
     rows = readers.page_order(readers.image_pages(spark, str(tmp_path))).orderBy("page").collect()
     assert [(r.mime, r.width, r.height, r.page) for r in rows] == [("image/jpeg", 30, 40, 0), (None, None, None, 1)]
+
+
+def test_grid_cells_lose_no_pair(spark):
+    """Pairs through grid cells are those of all boxes of a page: over cell borders, empty, turned inside out, below zero."""
+    rng = random.Random(5)
+    made = [(rng.randint(-1500, 3000), rng.randint(-1500, 3000), rng.choice([0, -30, 5, 200, 1024, 2500]), rng.choice([0, 5, 300, 1100])) for _ in range(120)]
+    made += [(1000, 1000, 24, 24), (1024, 1024, 10, 10), (1040, 1000, 5, 5), (1041, 1000, 5, 5)]
+    rows = [(1 + i % 2, i, *b) for i, b in enumerate(made)]
+    df = spark.createDataFrame(rows, "page long, id long, x long, y long, w long, h long").select("page", "id", g.box(F.col("x"), F.col("y"), F.col("w"), F.col("h")).alias("box"))
+    other = df.select("page", F.col("id").alias("other_id"), F.col("box").alias("other"))
+    meet = lambda a, b: a[2] < b[2] + b[4] and b[2] < a[2] + a[4] and a[3] < b[3] + b[5] and b[3] < a[3] + a[5]
+    want = sorted((a[1], b[1]) for a in rows for b in rows if a[0] == b[0] and a[1] < b[1] and meet(a, b))
+    got = spatial.gridded(df, other, F.col("id") < F.col("other_id")).select("id", "other_id").collect()
+    assert sorted((r.id, r.other_id) for r in got) == want and want
+
+    gap = lambda p, q, s, t: max(s - q, p - t, 0)
+    near = lambda a, b: gap(a[2], a[2] + a[4], b[2], b[2] + b[4]) <= 16 and gap(a[3], a[3] + a[5], b[3], b[3] + b[5]) <= 16
+    plates = {r[1] for r in rows if r[1] % 10 == 0 or r[1] == 120}
+    live = df.withColumn("refused", F.when(F.col("id").isin(*plates), "watermark"))
+    out = regions.stamp_occlusion(live, df.select("page", "box").limit(0)).where("occluded_by = 'watermark'").collect()
+    assert {r.id for r in out} == {a[1] for a in rows if a[1] not in plates and any(b[1] in plates and a[0] == b[0] and near(a, b) for b in rows)}
