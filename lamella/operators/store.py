@@ -5,18 +5,22 @@ after, origin, before_page, before_parent, before_position): insert, move and
 delete of entities (kind null), set and unset of components (kind named). State
 is a fold of the log; undo appends inverse operations as a new revision, for
 which moves and deletes carry the place before, and a delete comes behind unset
-rows of the components that go with it (``move_ops``, ``delete_ops``). Trees are walked by recursive SQL, graph
-closures by a frontier loop of joins.
+rows of the components that go with it (``move_ops``, ``delete_ops``). Trees are walked level by level, graph
+closures by a frontier loop of joins; recursive SQL would end at a million rows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PLACE = ("page", "parent", "position")
 CHECKPOINT_COMMITS = 1024
 CHECKPOINT_BYTES = 64 << 20
+#: Levels of a tree.
+MAX_DEPTH = 256
 #: Revisions that one task numbers.
 RANGE = 1 << 16
 FUNCTIONAL = ("Presents", "RecognizedFrom", "FitsTo")
@@ -115,8 +119,8 @@ def place_violations(entities: DataFrame, pages: DataFrame, moves: DataFrame) ->
     not_root = below.join(pages.select("id"), "id", "left_semi").select("id", F.lit("page below the root").alias("why"))
     known = entities.select("id").union(moves.select("id")).distinct().select(F.col("id").alias("parent"))
     orphan = below.join(known, "parent", "left_anti").select("id", F.lit("unknown parent").alias("why"))
-    under = subtree(entities, below.join(entities.select("id"), "id", "left_semi").select("id").distinct()).select(F.col("root").alias("id"), F.col("id").alias("parent"))
-    cycle = below.join(under, ["id", "parent"], "left_semi").select("id", F.lit("parent in the own subtree").alias("why"))
+    above = ancestors(entities, below.select(F.col("parent").alias("id"))).select(F.col("id").alias("parent"), F.col("above").alias("id"))
+    cycle = below.join(above, ["id", "parent"], "left_semi").select("id", F.lit("parent in the own subtree").alias("why"))
     return not_root.union(orphan).union(cycle)
 
 
@@ -179,16 +183,35 @@ def changes(ops: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- trees and graphs
 
 
-def subtree(entities: DataFrame, roots: DataFrame, max_depth: int = 256) -> DataFrame:
+def _levels(first: DataFrame, below: Callable[[DataFrame], DataFrame], max_depth: int) -> DataFrame:
+    """``first`` and the levels that ``below`` finds under each other, written one by one, until one is empty; an error where ``max_depth`` aren't enough."""
+    from lamella.sources.tables import written
+
+    found = level = written(first, "level")
+    for _ in range(max_depth + 1):
+        level = written(below(level), "level")
+        if not level.limit(1).count():
+            return found
+        found = found.union(level)
+    raise ValueError(f"the tree is deeper than {max_depth} levels, or goes in a circle")
+
+
+def subtree(entities: DataFrame, roots: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
     """Entities (id, parent, position) under the roots (id), in pre-order by ``path``; the roots come with depth 0."""
-    return entities.sparkSession.sql(f"""
-        WITH RECURSIVE tree(root, id, depth, path) MAX RECURSION LEVEL {max_depth} AS (
-            SELECT r.id, r.id, 0, CAST(lpad(CAST(e.position AS STRING), 10, '0') AS STRING)
-            FROM {{roots}} r JOIN {{entities}} e ON e.id = r.id
-            UNION ALL
-            SELECT t.root, e.id, t.depth + 1, concat(t.path, '/', lpad(CAST(e.position AS STRING), 10, '0'))
-            FROM tree t JOIN {{entities}} e ON e.parent = t.id
-        ) SELECT root, id, depth, path FROM tree""", entities=entities, roots=roots)
+    step = F.lpad(F.col("position").cast("string"), 10, "0")
+    top = entities.select("id", step.alias("path"))
+    kids = entities.select(F.col("parent").alias("above"), F.col("id").alias("kid"), step.alias("step"))
+    first = roots.select("id").join(top, "id").select(F.col("id").alias("root"), "id", F.lit(0).alias("depth"), "path")
+    below = lambda t: t.join(kids, F.col("id") == F.col("above")).select("root", F.col("kid").alias("id"), (F.col("depth") + 1).alias("depth"), F.concat("path", F.lit("/"), "step").alias("path"))
+    return _levels(first, below, max_depth)
+
+
+def ancestors(entities: DataFrame, starts: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+    """Pairs (id, above) of the starts (id) that are entities with themselves and each entity above them."""
+    up = entities.where("parent IS NOT NULL").select(F.col("id").alias("above"), "parent")
+    first = starts.select("id").distinct().join(entities.select("id").distinct(), "id", "left_semi").select("id", F.col("id").alias("above"))
+    known = entities.select(F.col("id").alias("parent")).distinct()
+    return _levels(first, lambda t: t.join(up, "above").join(known, "parent", "left_semi").select("id", F.col("parent").alias("above")), max_depth)
 
 
 def descendants(entities: DataFrame, roots: DataFrame) -> DataFrame:
@@ -214,14 +237,11 @@ def visual_order(entities: DataFrame, roots: DataFrame) -> DataFrame:
 
     entities: id, parent, position, opacity, visible.
     """
-    return entities.sparkSession.sql("""
-        WITH RECURSIVE tree(root, id, opacity, path) MAX RECURSION LEVEL 256 AS (
-            SELECT r.id, r.id, CAST(e.opacity AS DOUBLE), CAST(lpad(CAST(e.position AS STRING), 10, '0') AS STRING)
-            FROM {roots} r JOIN {entities} e ON e.id = r.id WHERE e.visible
-            UNION ALL
-            SELECT t.root, e.id, t.opacity * CAST(e.opacity AS DOUBLE), concat(t.path, '/', lpad(CAST(e.position AS STRING), 10, '0'))
-            FROM tree t JOIN {entities} e ON e.parent = t.id WHERE e.visible
-        ) SELECT root, id, opacity, path FROM tree""", entities=entities, roots=roots)
+    seen = entities.where("visible").select("id", "parent", F.col("opacity").cast("double").alias("opacity"), F.lpad(F.col("position").cast("string"), 10, "0").alias("path"))
+    kids = seen.select(F.col("parent").alias("above"), F.col("id").alias("kid"), F.col("opacity").alias("own"), F.col("path").alias("step"))
+    first = roots.select("id").join(seen, "id").select(F.col("id").alias("root"), "id", "opacity", "path")
+    below = lambda t: t.join(kids, F.col("id") == F.col("above")).select("root", F.col("kid").alias("id"), (F.col("opacity") * F.col("own")).alias("opacity"), F.concat("path", F.lit("/"), "step").alias("path"))
+    return _levels(first, below, MAX_DEPTH)
 
 
 def relations_from(relations: DataFrame, kind: str | None = None) -> DataFrame:

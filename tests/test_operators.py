@@ -400,3 +400,27 @@ def test_grid_cells_lose_no_pair(spark):
     live = df.withColumn("refused", F.when(F.col("id").isin(*plates), "watermark"))
     out = regions.stamp_occlusion(live, df.select("page", "box").limit(0)).where("occluded_by = 'watermark'").collect()
     assert {r.id for r in out} == {a[1] for a in rows if a[1] not in plates and any(b[1] in plates and a[0] == b[0] and near(a, b) for b in rows)}
+
+
+def test_trees_of_over_a_million_rows(spark):
+    """Recursive SQL stops at a million rows; walks by level don't."""
+    n = 1_100_000
+    kids = spark.range(1, n + 1).select(F.col("id").cast("string").alias("id"), F.lit("0").alias("parent"), F.col("id").alias("position"))
+    tree = spark.createDataFrame([("0", None, 0)], "id string, parent string, position long").union(kids)
+    root = tree.where("parent IS NULL").select("id")
+    assert store.subtree(tree, root).count() == n + 1
+    order = store.visual_order(tree.withColumn("opacity", F.lit(0.5)).withColumn("visible", F.col("position") % 2 == 0), root)
+    assert order.agg(F.count("*"), F.sum("opacity")).first()[:] == (n // 2 + 1, 0.5 + 0.25 * (n // 2))
+    moves = tree.select("id", F.lit("p").alias("page"), F.when(F.col("position") == 0, "7").when(F.col("position") == 8, "8").when(F.col("position") == 9, "x").otherwise("5").alias("parent"), "position").where("id <> '5'")
+    found = store.place_violations(tree, root, moves)
+    assert sorted(found.collect()) == [("0", "page below the root"), ("0", "parent in the own subtree"), ("8", "parent in the own subtree"), ("9", "unknown parent")]
+
+
+def test_trees_too_deep_are_an_error(spark):
+    chain = spark.createDataFrame([(str(i), str(i - 1) if i else None, i) for i in range(5)], "id string, parent string, position long")
+    root = chain.where("parent IS NULL").select("id")
+    rows = store.subtree(chain, root, 4).orderBy("depth").collect()
+    assert [r.depth for r in rows] == [0, 1, 2, 3, 4] and rows[-1].path == "/".join(str(i).rjust(10, "0") for i in range(5))
+    with pytest.raises(ValueError):
+        store.subtree(chain, root, 3)
+    assert sorted(store.ancestors(chain, spark.createDataFrame([("2",), ("9",)], "id string")).collect()) == [("2", "0"), ("2", "1"), ("2", "2")]
