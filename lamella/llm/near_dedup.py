@@ -152,6 +152,15 @@ def branch_roots(classes: DataFrame) -> DataFrame:
     return classes.select("sid", "tokens").mapInArrow(run, "node long, sid long")
 
 
+def gathered(rows: DataFrame, values: DataFrame, *cells: str) -> DataFrame:
+    """values (sid, ...) of the classes in ``rows``, one row a class with the list ``at`` of its ``cells``.
+
+    A class is joined once, however many nodes or blocks it is in: each of its
+    cells would be a row of the join otherwise, with all its values.
+    """
+    return rows.groupBy("sid").agg(F.collect_list(F.struct(*cells)).alias("at")).join(values, "sid")
+
+
 def branch_again(large: DataFrame, classes: DataFrame, level: int) -> DataFrame:
     """(node, sid) one level below large nodes."""
 
@@ -159,12 +168,14 @@ def branch_again(large: DataFrame, classes: DataFrame, level: int) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            node, sid = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()
-            tokens = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint32).reshape(len(sid), SIZE)
-            rows, nodes = _children(node, tokens, level, True)
-            yield pa.RecordBatch.from_arrays([pa.array(nodes.view(np.int64)), pa.array(sid[rows])], names=["node", "sid"])
+            counts = batch.column(1).value_lengths().to_numpy()
+            node = batch.column(1).flatten().field("node").to_numpy().view(np.uint64)
+            tokens = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint32).reshape(batch.num_rows, SIZE)
+            at = np.repeat(np.arange(batch.num_rows), counts)
+            rows, nodes = _children(node, tokens[at], level, True)
+            yield pa.RecordBatch.from_arrays([pa.array(nodes.view(np.int64)), pa.array(batch.column(0).to_numpy()[at][rows])], names=["node", "sid"])
 
-    return large.select("node", "sid").join(classes.select("sid", "tokens"), "sid").select("node", "sid", "tokens").mapInArrow(run, "node long, sid long")
+    return gathered(large, classes.select("sid", "tokens"), "node").select("sid", "at", "tokens").mapInArrow(run, "node long, sid long")
 
 
 def counted(rows: DataFrame, label: str) -> DataFrame:
@@ -192,7 +203,8 @@ def candidate_edges(classes: DataFrame) -> DataFrame:
         if level == DEPTH:
             found.append(large.where("sid <> leader").select(F.col("leader").alias("a"), F.col("sid").alias("b")))
         else:
-            rows = branch_again(large, classes, level + 100)
+            rows = materialize(branch_again(large, classes, level + 100), f"branches-{level}")  # read twice
+            used.append(rows)
     out = found[0]
     for more in found[1:]:
         out = out.union(more)
@@ -204,7 +216,7 @@ def candidate_edges(classes: DataFrame) -> DataFrame:
 
 def leaf_edges(leaves: DataFrame, classes: DataFrame) -> DataFrame:
     """All sketches of a leaf against each other; a spanning forest of the matches comes out."""
-    sketches = leaves.select("node", "sid").join(classes.select("sid", "sketch"), "sid").select("node", "sid", "sketch")
+    sketches = gathered(leaves, classes.select("sid", "sketch"), "node").select(F.explode("at").alias("at"), "sid", "sketch").select("at.node", "sid", "sketch")
     return by_group(sketches, ["node"], _leaf, "a long, b long")
 
 
@@ -371,7 +383,8 @@ def rest_tasks(state: DataFrame, first: DataFrame) -> DataFrame:
     left, right = rest.join(_copied(blocks), ["group", "part"]), dealt.join(_copied(asked), ["group", "part"])
     sketches = _task(left, F.col("block"), F.col("at"), 0).union(_task(right, F.col("from"), F.col("block"), 1))
     alike = materialize(by_group(sketches, ["group", "l", "r"], alike_members, "group long, l int, r int, side int, sid long"), "alike")
-    return alike.join(state.select("sid", "linked", "sketch", "shingles"), "sid").select("group", "l", "r", "side", "sid", "linked", "sketch", "shingles")
+    held = gathered(alike, state.select("sid", "linked", "sketch", "shingles"), "group", "l", "r", "side")
+    return held.select(F.explode("at").alias("at"), "sid", "linked", "sketch", "shingles").select("at.*", "sid", "linked", "sketch", "shingles")
 
 
 def alike_members(rows: list[tuple]) -> list[tuple]:

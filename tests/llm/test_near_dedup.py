@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lamella.llm import near_dedup as nd
 from lamella.llm.common import table
@@ -109,3 +110,11 @@ def test_linked_is_exact():
         a, b = (np.unique(rng.integers(0, 30, rng.integers(1, 40)).astype(np.uint64)) for _ in range(2))
         both = len(np.intersect1d(a, b))
         assert nd.linked(a, b) == (100 * both >= 75 * (len(a) + len(b) - both))
+
+
+def test_classes_are_joined_once(spark):
+    """A class in many nodes is one row of the join with its values, not one for each node."""
+    rows = spark.range(4000).select((F.col("id") % 50).alias("node"), F.floor(F.col("id") / 50).alias("sid"))
+    values = spark.range(80).select(F.col("id").alias("sid"), F.lit(b"x").alias("sketch"))
+    held = nd.gathered(rows, values, "node")
+    assert held.count() == 80 and sorted(r.node for r in held.where("sid = 7").first()["at"]) == list(range(50))
