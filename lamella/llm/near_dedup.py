@@ -9,8 +9,10 @@ join works on the classes.
    path, 4/3 on average (the branching 1 / threshold that keeps a pair at the
    threshold alive in expectation), and every member goes to the child named
    by its token there. Nodes of up to ``LEAF`` members are compared
-   exhaustively on sketches; larger ones branch again, ``DEPTH`` levels at
-   most, after which a large node counts as one candidate group.
+   exhaustively on sketches, by a walk that leaves out only comparisons of
+   members already linked; larger ones branch again, ``DEPTH`` levels at
+   most, after which a large node counts as one candidate group. Each level
+   makes 3/2 rows of one, so the rows follow the members, not their square.
 2. Sketch matches, as spanning trees of the nodes, are united to candidate
    groups, supersets of the true groups. Their members' full shingle sets are
    read again from the texts and compared in blocks of ``BLOCK``: pairs in
@@ -49,7 +51,8 @@ SHINGLE = 5
 THRESHOLD = 75  # per cent
 SIZE = 128
 TREES = 10
-LEAF = 96
+#: Most members of a node that one task compares, all with each other: half a megabyte of sketches.
+LEAF = 4096
 DEPTH = 4
 BLOCK = 128
 PIVOTS = 4
@@ -221,13 +224,25 @@ def leaf_edges(leaves: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def _leaf(rows: list[tuple]) -> list[tuple]:
+    """Spanning forest of a leaf's sketch matches, by a walk over them.
+
+    A member reached is compared with those not reached yet and with no other,
+    as the rest are in its tree or in a finished one. So members of which all
+    but r match each other cost r comparisons each, not one with every other.
+    """
     sids = [r[1] for r in rows]
     sketch = np.frombuffer(b"".join(r[2] for r in rows), np.uint8).reshape(len(rows), SIZE)
-    group, out = list(range(len(rows))), []
-    for i, j in np.argwhere(np.triu(similar(sketch, sketch) >= SKETCH_CUT, 1)):
-        if _root(group, i) != _root(group, j):
-            group[_root(group, i)] = _root(group, j)
-            out.append((sids[i], sids[j]))
+    apart, held, out = np.arange(len(rows)), sketch, []
+    while len(apart):
+        reached, apart, held = [int(apart[0])], apart[1:], held[1:]
+        while reached and len(apart):
+            i = reached.pop()
+            near = similar(sketch[i : i + 1], held)[0] >= SKETCH_CUT
+            if near.any():
+                found = apart[near].tolist()
+                out += [(sids[i], sids[j]) for j in found]
+                reached += found
+                apart, held = apart[~near], held[~near]
     return out
 
 

@@ -118,3 +118,48 @@ def test_classes_are_joined_once(spark):
     values = spark.range(80).select(F.col("id").alias("sid"), F.lit(b"x").alias("sketch"))
     held = nd.gathered(rows, values, "node")
     assert held.count() == 80 and sorted(r.node for r in held.where("sid = 7").first()["at"]) == list(range(50))
+
+
+def sketched(n, seed, odd):
+    """Rows (node, sid, sketch) of n members: some match no other, the rest two bases or members that match one."""
+    rng = np.random.default_rng(seed)
+    bases = rng.integers(0, 256, (2, nd.SIZE), dtype=np.uint8)
+    rows = []
+    for i in range(n):
+        x = rng.integers(0, 256, nd.SIZE, dtype=np.uint8) if i % odd == 0 else bases[i % 2].copy()
+        x[rng.choice(nd.SIZE, int(rng.integers(0, 60)), replace=False)] = rng.integers(0, 256)
+        rows.append((1, i, x.tobytes()))
+    return rows
+
+
+def test_leaf_walk_is_exhaustive(monkeypatch):
+    """The walk gives the parts that all pairs give, without comparing members that are linked already."""
+    for seed, odd in ((1, 2), (2, 5), (3, 50)):
+        rows = sketched(150, seed, odd)
+        sketch = np.frombuffer(b"".join(r[2] for r in rows), np.uint8).reshape(-1, nd.SIZE)
+        parts = [list(range(len(rows))) for _ in range(2)]
+        for group, edges in zip(parts, (np.argwhere(np.triu(nd.similar(sketch, sketch) >= nd.SKETCH_CUT, 1)).tolist(), nd._leaf(rows))):
+            for i, j in edges:
+                group[nd._root(group, i)] = nd._root(group, j)
+        same = [{frozenset(i for i in range(len(rows)) if nd._root(g, i) == r) for r in {nd._root(g, i) for i in range(len(rows))}} for g in parts]
+        assert same[0] == same[1] and len(nd._leaf(rows)) == len(rows) - len(same[0])
+    compared, similar = [], nd.similar
+    monkeypatch.setattr(nd, "similar", lambda x, y: compared.append(len(x) * len(y)) or similar(x, y))
+    rows = [(1, i, bytes(nd.SIZE)) for i in range(1000)]
+    assert len(nd._leaf(rows)) == 999 and sum(compared) <= 1000
+    assert nd._leaf(rows[:1]) == [] and nd._leaf([]) == []
+
+
+def test_large_group_is_not_branched(spark, monkeypatch):
+    """Some hundred near copies are compared in their first nodes; no rows of further levels are made for them."""
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 1 << 32, nd.SIZE, dtype=np.uint32)
+    rows = []
+    for sid in range(400):
+        tokens = base.copy()
+        tokens[rng.choice(nd.SIZE, 12, replace=False)] = rng.integers(0, 1 << 32, 12, dtype=np.uint32)
+        rows.append((sid, bytearray(tokens.tobytes()), bytearray((tokens & 0xFF).astype(np.uint8).tobytes())))
+    classes = spark.createDataFrame(rows, "sid long, tokens binary, sketch binary")
+    monkeypatch.setattr(nd, "branch_again", lambda *_: pytest.fail("branched"))
+    roots = {r.root for r in components(nd.candidate_edges(classes)).collect()}
+    assert roots == {0}
