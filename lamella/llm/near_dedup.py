@@ -12,7 +12,7 @@ join works on the classes.
    exhaustively on sketches, by a walk that leaves out only comparisons of
    members already linked; larger ones branch again, ``DEPTH`` levels at
    most, after which a large node counts as one candidate group. Each level
-   makes 3/2 rows of one, so the rows follow the members, not their square.
+   makes 3/2 rows of one on average, so the rows follow the members, not their square.
 2. Sketch matches, as spanning trees of the nodes, are united to candidate
    groups, supersets of the true groups. Their members' full shingle sets are
    read again from the texts and compared in blocks of ``BLOCK``: pairs in
