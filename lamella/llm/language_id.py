@@ -42,6 +42,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lamella.llm.common import add_columns, table, texts_of
+from lamella.llm.tokens import release_tokenizers
 
 BUCKETS = 1 << 16
 ORDERS = (3, 4)
@@ -219,6 +220,7 @@ def sample(documents: DataFrame, id_col: str, text_col: str, lang_col: str, per_
     chosen = rows.where(draw < limit).select("lang", draw.alias("draw"), F.col("id").cast("string").alias("id"), "text")
 
     def make(batches):
+        release_tokenizers()
         for batch in batches:
             found = [bags_of(text, draw) for draw, text in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist())]
             bags = [[{"rows": r.tobytes(), "share": w.tobytes()} for r, w in bs] for bs in found]
@@ -246,6 +248,7 @@ def predict(documents: DataFrame, model: Model, text_col: str = "text") -> DataF
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def make():
+        release_tokenizers()
         held = shared.value
         return lambda texts: [held.predict(t) for t in texts_of(texts)]
 

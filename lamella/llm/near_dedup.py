@@ -45,6 +45,7 @@ from pyspark.sql import functions as F
 
 from lamella.llm.common import discard, materialize, table, texts_of
 from lamella.llm.components import components
+from lamella.llm.tokens import release_tokenizers
 from lamella.llm.words import gram_hashes, mix, word_hashes, word_hashes_of
 
 SHINGLE = 5
@@ -102,6 +103,7 @@ def signatures(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
     source = documents.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).select("doc_id", F.xxhash64("doc_id", "text").alias("uid"), "text")
 
     def run(batches):
+        release_tokenizers()
         for batch in batches:
             n, sid, tokens = [], [], []
             for words in word_hashes_of(texts_of(batch.column(2))):
@@ -271,6 +273,7 @@ def by_group(rows: DataFrame, keys: list[str], work, schema: str) -> DataFrame:
     dealt = rows.repartition(count, *keys).sortWithinPartitions(*keys)
 
     def run(batches):
+        release_tokenizers()
         held, key, done = [], None, []
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):

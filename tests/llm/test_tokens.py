@@ -5,8 +5,11 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from lamella.llm import language_id as li
+from lamella.llm import near_dedup as nd
 from lamella.llm import pattern_packing as pp
 from lamella.llm import token_output as to
+from lamella.llm import tokens
 from lamella.llm.common import table
 from lamella.llm.tokens import WordTokenizer, tokenizer_path
 
@@ -155,3 +158,28 @@ def test_shards_lose_little(spark):
     whole = len(to.best_fit_decreasing(lengths, to.CAPACITY))
     print("rows", len(rows), "one best fit", whole, "bound", -(-sum(lengths) // to.CAPACITY))
     assert len(rows) <= 1.02 * whole + 1
+
+
+class Caught:
+    """Stands for a DataFrame; gives the function that its tasks would run."""
+
+    sparkSession = property(lambda self: self)
+    sparkContext = conf = sparkSession
+    value, schema = None, li.RESULT
+    get = lambda self, key: "8"
+    select = repartition = sortWithinPartitions = broadcast = lambda self, *a: self
+    mapInArrow = lambda self, run, schema: run
+
+
+def test_other_stages_release_tokenizers(spark):
+    """A worker that packed keeps its tokenizer and words for its next tasks, but not beside the work of other stages."""
+    import weakref
+
+    tasks = [nd.signatures(Caught(), "doc_id", "text"), nd.by_group(Caught(), ["node"], nd._leaf, "a long, b long"), li.predict(Caught(), None)]
+    for run in tasks:
+        tok = tokens.held_tokenizer(tokenizer_path())
+        assert tok is tokens.held_tokenizer(tokenizer_path()) and tok.packed(b"some words")
+        gone = weakref.ref(tok)
+        del tok
+        assert list(run(iter(()))) == [] and not tokens._HELD and gone() is None
+    tokens.release_tokenizers()  # nothing held
